@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions import expr
+from cairn.functions import content, expr
 from cairn.operators import catalog, changes, rules
 from cairn.operators.rules import ARCHIVE, IGNORE, ScanRule
-from cairn.sources import corpus
+from cairn.shipping import ship
+from cairn.sources import corpus, fswalk
+
+_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -385,3 +390,39 @@ def path_names(spark, d):
     p = F.concat(F.lit("/a.b/"), F.col("doc_id").cast("string"), F.element_at(tails, (F.col("doc_id") % 6 + 1).cast("int")))
     docs = corpus.documents(spark, d).select("doc_id", p.alias("p"))
     return docs.select("doc_id", "p", expr.extension(F.col("p")).alias("extension"), expr.basename(F.col("p")).alias("name"), expr.image_type(F.col("p")).alias("image"))
+
+
+# contents: what SQL doesn't have -------------------------------------------------------------------------------
+
+
+@query()
+def blake3_cid(spark, d):
+    return content.blake3_cids(corpus.documents(spark, d).select("doc_id", "text"), "text").select("doc_id", "cid")
+
+
+@query("SELECT doc_id, strlen(text) AS n_bytes, true AS same FROM documents")
+def lz4_roundtrip(spark, d):
+    ship(spark)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            back = [content.unlz4(content.lz4(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in back], pa.int64()), pa.array([a == b for a, b in zip(texts, back)])], ["doc_id", "n_bytes", "same"])
+
+    return corpus.documents(spark, d).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, same boolean")
+
+
+@query()
+def archive_tar(spark, d):
+    """The library's own sources as one archive: its name, size and identity."""
+    data = content.directory_archive(_PACKAGE, "package")
+    return spark.createDataFrame([("package.tar", len(data), content.cid_text(content.compute_cid(data)))], "name string, size long, cid string")
+
+
+@query()
+def fs_scan(spark, d):
+    """A walk of the folder that holds the tables."""
+    return fswalk.walk(spark, d, 4).select("rel", "kind", "size")
