@@ -1,7 +1,5 @@
 """Helpers that the operators of this package share.
 
-* ``ship``: sends the package's sources to the executors, so that functions given to
-  ``mapInArrow`` can be imported there whatever the driver's working directory is.
 * ``shared_dir`` / ``staged``: lineage is cut by a Parquet table written under the folder
   named by ``spark.checkpoint.dir``, which driver and executors share.
 * ``rank_in_group``, ``bucket_of``, ``components``: numbers within groups, ranges of ids, connected components.
@@ -11,39 +9,15 @@ from __future__ import annotations
 
 import atexit
 import math
-import os
 import tempfile
 import uuid
-import zipfile
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-_folders: list[tuple[SparkSession, str]] = []
-
+from cairn.shipping import ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of the session's executors."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.join(top, "cairn")
-    found = sorted(
-        os.path.join(d, f) for d, _, names in os.walk(package) for f in names if f.endswith(".py")
-    )
-    mark = 0
-    for path in found:
-        with open(path, "rb") as f:
-            mark = zlib.crc32(f.read(), mark)
-    target = os.path.join(tempfile.mkdtemp(prefix="cairn-"), f"cairn_{mark:08x}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in found:
-            z.write(path, os.path.relpath(path, top))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
+_folders: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,7 +81,8 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], rows: int, into:
     A hot group doesn't meet in one task: rows are dealt to ranges of a hash of ``order``, numbered
     there, and the ranges' counts are summed. Rows that are equal in ``order`` may change places.
     """
-    parts = max(1, math.ceil(rows / block))
+    least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.ceil(rows / block), min(least, rows // 500))
     df = df.withColumn("_rk_h", F.xxhash64(*order, F.lit(11)))
     df = df.withColumn("_rk_b", F.floor(F.pmod(F.shiftright("_rk_h", 20), F.lit(1 << 40)) * F.lit(parts) / F.lit(1 << 40)).cast("int"))
     sums = df.groupBy(group, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))

@@ -207,27 +207,32 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, per_band: int = 8) -> DataFrame:
     """``prints(doc_id, fingerprint)`` with ``class_id``: the smallest id among texts joined by links of ``least`` likeness or more.
 
-    Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are each compared with
-    that band's first node; a node left over is compared with the first of those left over, and so on, until
-    none is: a group of n nodes takes as many rounds as it has such first nodes, and never all its pairs at once.
+    Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are candidates. A band's
+    bucket never lists its pairs: in each round one of its nodes is compared with those of other classes, links join
+    classes, and a bucket of one class is done. While it has several, another node has its turn, so no link is lost.
     """
     step = SLOTS // bands
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
     keys = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("fingerprint", k * step + 1, per_band)) for k in range(bands)))
-    rest = staged(nodes.select(F.col("fingerprint").alias("node"), F.explode(keys).alias("band")), "bands")
+    rest = nodes.select(F.col("fingerprint").alias("node"), F.explode(keys).alias("band"))
+    rest = staged(rest.select("band", "node", F.col("node").alias("root"), F.lit(False).alias("used")), "bands")
     chars = lambda c: F.split(c, "")
+    same = F.aggregate(F.zip_with(chars(F.col("node")), chars(F.col("first")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    near = F.greatest(F.lit(0.0), (same / SLOTS - CHANCE) / (1 - CHANCE)) >= least
+    roots = prints.sparkSession.createDataFrame([], "node string, root string")
     links = None
     while True:
-        firsts = rest.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = rest.join(firsts, "band").where("node <> first")
-        same = F.aggregate(F.zip_with(chars(F.col("node")), chars(F.col("first")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        judged = staged(pairs.withColumn("near", F.greatest(F.lit(0.0), (same / SLOTS - CHANCE) / (1 - CHANCE)) >= least), "judged")
-        found = judged.where("near").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-        links = found if links is None else links.union(found)
-        rest = judged.where("not near").select("node", "band")
+        split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(~F.col("used"), F.struct("node", "root"))).alias("f"))
+        split = split.where("lo <> hi and f is not null").select("band", F.col("f.node").alias("first"), F.col("f.root").alias("own"))
+        rest = staged(rest.join(split, "band"), "bands")
         if rest.isEmpty():
             break
-    roots = components(links)
+        found = staged(rest.where("root <> own").where(near).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "links")
+        links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            roots = staged(components(links), "roots")
+        rest = rest.select("band", "node", (F.col("used") | (F.col("node") == F.col("first"))).alias("used")).join(roots, "node", "left")
+        rest = rest.select("band", "node", F.coalesce("root", "node").alias("root"), "used")
     own = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     top = own.groupBy("root").agg(F.min("least_id").alias("class_id"))
     classes = own.join(top, "root").select("fingerprint", "class_id")
