@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from cairn.shipping import ship  # noqa: F401
 
+#: The most ranges that rows are dealt to. Beyond, ranges grow instead; a range is sorted on disk and read as a stream.
+MOST_RANGES = 50_000
+
 _folders: list[tuple[SparkSession, str]] = []
 
 
@@ -101,7 +104,7 @@ def id_buckets(docs: DataFrame, id_col: str, text_col: str, target: int, least:
     boundaries are approximate quantiles, one for each range; they only steer balance.
     """
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_or_empty(F.col(text_col))))).first()
-    parts = max(least, math.ceil((size or 0) / target))
+    parts = min(MOST_RANGES, max(least, math.ceil((size or 0) / target)))
     if not n or parts < 2:
         return [], n
     parts = min(parts, n)
@@ -114,7 +117,8 @@ def bucket_of(col: Column, cuts: list[int]) -> Column:
     if not cuts:
         return F.lit(0)
     step = max(1, math.isqrt(len(cuts)))
-    low, every = F.lit(cuts[::step]), F.lit(cuts)
+    listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+    low, every = listed(cuts[::step]), listed(cuts)
 
     def search(x: Column) -> Column:
         hi = F.size(F.filter(low, lambda c: c <= x))

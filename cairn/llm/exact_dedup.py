@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import staged, text_or_empty
+from cairn.llm.common import MOST_RANGES, staged, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -76,7 +76,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select(*dict.fromkeys([*names, id_col, text_col]))
     stats = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_or_empty(F.col(text_col))))).first()
     least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(stats[0] // 16, max(least, math.ceil((stats[1] or 0) / target_bytes))))
+    ranges = max(1, min(stats[0] // 16, max(least, math.ceil((stats[1] or 0) / target_bytes)), MOST_RANGES))
     cuts = splitters(docs, id_col, text_col, ranges, stats[0]) if ranges > 1 else []
 
     number = F.col(id_col).cast("long")

@@ -4,14 +4,14 @@ Ids are ranked by their frequency in the whole corpus, so frequent ids have smal
 to 4 bytes, little-endian; its length less one is 2 bits of a control byte, which serves four ranks
 (the first in the lowest bits). A document's control bits start on a byte of their own.
 
-A shard holds the documents of one range of ids, ascending. Its file: 8 bytes ``CRNVB001``; number of
+A shard holds the documents of one range of ids, ascending, or a part of them if they are many. Its file: 8 bytes ``CRNVB001``; number of
 documents, of control bytes and of data bytes (three unsigned 64-bit); for each document its id
 (signed 64-bit, the smallest for a null id) and number of tokens (unsigned 64-bit); all control bytes;
 all data bytes; CRC-32 of all before (unsigned 32-bit). Numbers are little-endian. ``table.bin`` beside the shards
 has the ids by rank (unsigned 32-bit). Decoding takes lengths from a 256-row table by control byte.
 
-Defined results: a null or empty text has its end id only; documents with equal ids stay in the order of
-their texts; an empty table gives no shard and an empty result.
+Defined results: a null or empty text has its end id only; documents with equal ids are ordered by
+their number of tokens and their codes; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import bucket_of, id_buckets, new_folder, ship, staged, text_or_empty
 from cairn.llm.tokens import encoder, tokenizer_path
 
-MAGIC, END_ID, NO_ID = b"CRNVB001", 1, -(1 << 63)
+MAGIC, END_ID, NO_ID, SHARD_BYTES = b"CRNVB001", 1, -(1 << 63), 64 << 20
 #: Row c: the lengths of the four ranks that control byte c serves.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -120,7 +120,7 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_text: int = 8 << 20) -> DataFrame:
-    """Write shards of all ``docs`` under the URI ``folder``; a row (shard, path, documents, tokens) for each."""
+    """Write shards of all ``docs`` under the URI ``folder``; a row (shard, part, path, documents, tokens) for each."""
     from pyarrow import fs
 
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -153,33 +153,34 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
         import pyarrow as pa
 
         store, top = fs.FileSystem.from_uri(folder)
-        now, held = None, ([], [], [], [])
+        now, part, size, held = None, 0, 0, ([], [], [], [])
 
         def close():
-            name = f"{top}/shard-{now:08d}.vb"
+            name = f"{top}/shard-{now:08d}-{part:06d}.vb"
             own = f"{name}.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(own, compression=None) as f:
                 f.write(shard_bytes(*held))
             store.move(own, name)  # a retried task writes the same bytes to the same name
-            row = pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([len(held[0])]), pa.array([sum(held[1])])], ["shard", "path", "documents", "tokens"])
+            row = pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([part], pa.int32()), pa.array([name]), pa.array([len(held[0])]), pa.array([sum(held[1])])], ["shard", "part", "path", "documents", "tokens"])
             for x in held:
                 x.clear()
             return row
 
         for batch in batches:
             for shard, doc, n, c, d in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if shard != now:
-                    if now is not None:
-                        yield close()
-                    now = shard
+                if held[0] and (shard != now or size >= SHARD_BYTES):
+                    yield close()
+                    part, size = (part + 1 if shard == now else 0), 0
+                now = shard
+                size += len(c) + len(d)
                 for x, v in zip(held, (NO_ID if doc is None else doc, n, c, d)):
                     x.append(v)
-        if now is not None:
+        if held[0]:
             yield close()
 
     coded = tokens.withColumn("shard", bucket_of(F.col("doc_id"), cuts)).mapInArrow(encode, "shard int, doc_id long, n long, control binary, data binary")
     dealt = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n", "control", "data")
-    return staged(dealt.mapInArrow(write, "shard int, path string, documents long, tokens long"), "shards")
+    return staged(dealt.mapInArrow(write, "shard int, part int, path string, documents long, tokens long"), "shards")
 
 
 def read_tokens(spark, folder: str, shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -191,25 +192,25 @@ def read_tokens(spark, folder: str, shards: DataFrame, with_ids: bool = False) -
     with store.open_input_stream(f"{top}/table.bin", compression=None) as f:
         sent = spark.sparkContext.broadcast(np.frombuffer(f.read(), "<u4"))
     # one row for each shard in one task: a running sum of their tokens
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = shards.select("shard", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
     def read(batches):
         import pyarrow as pa
 
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                shard = int(re.search(r"shard-(\d+)\.vb$", path.as_py())[1])
+                shard, part = map(int, re.search(r"shard-(\d+)-(\d+)\.vb$", path.as_py()).groups())
                 docs, counts, ids = parse_shard(content.as_py(), sent.value)
                 ends = np.cumsum(counts)
                 raw = np.ascontiguousarray(ids, "<u4").tobytes()
                 parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
-                cols = [pa.array([shard] * len(docs), pa.int32()), pa.array(docs, mask=docs == NO_ID), pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * with_ids, ["shard", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                cols = [pa.array([shard] * len(docs), pa.int32()), pa.array([part] * len(docs), pa.int32()), pa.array(docs, mask=docs == NO_ID), pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * with_ids, ["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.vb").load(folder).select("path", "content")
-    rows = files.mapInArrow(read, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-    out = rows.join(F.broadcast(bases), "shard")  # as many rows as files
+    rows = files.mapInArrow(read, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    out = rows.join(F.broadcast(bases), ["shard", "part"])  # as many rows as files
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids))
 
 
