@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 CID_PREFIX = {"sha2-256": "01551220", "blake3": "01551e20"}
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-# Image types by extension.
+# Image types by extension, and the type of everything else.
 IMAGE_TYPES = {
     "png": "image/png",
     "jpg": "image/jpeg",
     "jpeg": "image/jpeg",
     "gif": "image/gif",
     "webp": "image/webp",
-    "svg": "image/svg+xml",
     "bmp": "image/bmp",
     "ico": "image/x-icon",
+    "svg": "image/svg+xml",
+    "avif": "image/avif",
+    "tiff": "image/tiff",
+    "tif": "image/tiff",
 }
+OTHER_TYPE = "application/octet-stream"
 
 
 def basename(path: Column) -> Column:
@@ -127,7 +131,7 @@ def short_cid(cid: Column) -> Column:
 
 def image_type(path: Column) -> Column:
     pairs = [F.lit(x) for kv in IMAGE_TYPES.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), extension(path))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), extension(path)), F.lit(OTHER_TYPE))
 
 
 def log_name(prefix: str) -> str:

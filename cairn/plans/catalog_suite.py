@@ -383,7 +383,7 @@ def display_forms(spark, d):
 
 
 @query("""SELECT doc_id, p, CASE WHEN contains(b, '.') THEN lower(string_split(b, '.')[-1]) ELSE '' END AS extension, b AS name,
-    CASE WHEN lower(b) LIKE '%.png' THEN 'image/png' WHEN lower(b) LIKE '%.jpg' THEN 'image/jpeg' END AS image
+    CASE WHEN lower(b) LIKE '%.png' THEN 'image/png' WHEN lower(b) LIKE '%.jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS image
     FROM (SELECT doc_id, p, string_split(p, '/')[-1] AS b FROM (SELECT doc_id, '/a.b/' || doc_id || (['.PNG', '.tar.gz', '.', '', '.jpg', '/.gitignore'])[doc_id % 6 + 1] AS p FROM documents))""")
 def path_names(spark, d):
     tails = F.array(*(F.lit(x) for x in (".PNG", ".tar.gz", ".", "", ".jpg", "/.gitignore")))

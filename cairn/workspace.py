@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from cairn.operators import rules
 
-STATS = {"total_files": 0, "total_dirs": 0, "unique_blobs": 0, "duplicate_files": 0, "total_original_bytes": 0, "total_stored_bytes": 0, "scans_count": 0, "last_scan_at": None}
+STATS = {"total_files": 0, "total_dirs": 0, "unique_blobs": 0, "duplicate_files": 0, "total_original_bytes": 0, "total_stored_bytes": 0, "scans_count": 0, "last_scan_at": 0}
 SUMMED = ("total_files", "total_dirs", "unique_blobs", "duplicate_files", "total_original_bytes", "total_stored_bytes")
 
 
@@ -20,17 +20,17 @@ def new_id() -> str:
 
 
 class Workspaces:
-    """``active``: an id or None; ``workspaces`` and ``custom_rules``: lists of dicts. Missing fields take their defaults."""
+    """``active_workspace_id``: an id or None; ``workspaces`` and ``custom_scan_rules``: lists of dicts. Missing fields take their defaults."""
 
     def __init__(self, path: str):
-        self.path, self.data = path, {"active": None, "workspaces": [], "custom_rules": []}
+        self.path, self.data = path, {"active_workspace_id": None, "workspaces": [], "custom_scan_rules": []}
         if os.path.exists(path):
             with open(path) as f:
                 self.data |= json.load(f)
         for w in self.data["workspaces"]:
             w["stats"] = STATS | w.get("stats", {})
             w.setdefault("tags", [])
-        for r in self.data["custom_rules"]:
+        for r in self.data["custom_scan_rules"]:
             r.setdefault("enabled", True)
 
     def save(self) -> None:
@@ -59,15 +59,15 @@ class Workspaces:
         return next((w for w in self.data["workspaces"] if w["id"] == ident), None)
 
     def active(self) -> dict | None:
-        return self.find(self.data["active"])
+        return self.find(self.data["active_workspace_id"])
 
     def create(self, label: str, store_path: str, tags: list[str] = (), stats: dict | None = None) -> dict:
         made = {"id": new_id(), "label": label, "tags": list(tags), "store_path": store_path, "created_at": int(time.time()), "stats": STATS | (stats or {})}
 
         def change(data: dict) -> None:
             data["workspaces"].append(made)
-            if data["active"] is None:
-                data["active"] = made["id"]
+            if data["active_workspace_id"] is None:
+                data["active_workspace_id"] = made["id"]
 
         self.update(change)
         return made
@@ -75,14 +75,14 @@ class Workspaces:
     def switch(self, ident: str) -> dict:
         if not self.find(ident):
             raise KeyError(f"workspace not found: {ident}")
-        self.update(lambda data: data.update(active=ident))
+        self.update(lambda data: data.update(active_workspace_id=ident))
         return self.active()
 
     def delete(self, ident: str) -> None:
         def change(data: dict) -> None:
             data["workspaces"] = [w for w in data["workspaces"] if w["id"] != ident]
-            if data["active"] == ident:
-                data["active"] = data["workspaces"][0]["id"] if data["workspaces"] else None
+            if data["active_workspace_id"] == ident:
+                data["active_workspace_id"] = data["workspaces"][0]["id"] if data["workspaces"] else None
 
         self.update(change)
 
@@ -92,11 +92,11 @@ class Workspaces:
             rules.check_custom(r)
 
         def change(data: dict) -> None:
-            by_id = {r["id"]: r for r in data["custom_rules"]}
+            by_id = {r["id"]: r for r in data["custom_scan_rules"]}
             by_id.update({r["id"]: {"enabled": True} | r for r in incoming})
-            data["custom_rules"] = list(by_id.values())
+            data["custom_scan_rules"] = list(by_id.values())
 
-        return self.update(change)["custom_rules"]
+        return self.update(change)["custom_scan_rules"]
 
     def record_scan(self, ident: str, stats: dict) -> None:
         """Add a scan's counts; unchanged and pruned entries aren't accumulated."""
@@ -116,15 +116,15 @@ class Workspaces:
     def merge(self, text: str) -> dict:
         """Add workspaces with new ids, and rules by id."""
         other = json.loads(text)
-        for r in other.get("custom_rules", []):
+        for r in other.get("custom_scan_rules", []):
             rules.check_custom(r)
 
         def change(data: dict) -> None:
             known = {w["id"] for w in data["workspaces"]}
             data["workspaces"] += [w | {"stats": STATS | w.get("stats", {})} for w in other.get("workspaces", []) if w["id"] not in known]
-            by_id = {r["id"]: r for r in data["custom_rules"]}
-            by_id.update({r["id"]: {"enabled": True} | r for r in other.get("custom_rules", [])})
-            data["custom_rules"] = list(by_id.values())
+            by_id = {r["id"]: r for r in data["custom_scan_rules"]}
+            by_id.update({r["id"]: {"enabled": True} | r for r in other.get("custom_scan_rules", [])})
+            data["custom_scan_rules"] = list(by_id.values())
 
         return self.update(change)
 

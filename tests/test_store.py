@@ -198,4 +198,4 @@ def test_command_line_and_workspaces(place, spark, tmp_path, capsys):
         w.save_rules([{"id": "q", "label": " ", "pattern": "x", "action": "ignore"}])
     other = Workspaces(str(tmp_path / "other.json"))
     other.merge(w.export())
-    assert other.data["custom_rules"] == w.data["custom_rules"] and other.find(two["id"])
+    assert other.data["custom_scan_rules"] == w.data["custom_scan_rules"] and other.find(two["id"])
