@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,17 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(docs).count() == len(ROWS) and secrets.find_secrets(none).count() == 0
 
 
+def test_sql_agrees_on_planted_parts(spark):
+    rng, parts = np.random.default_rng(9), SECRET.split() + ["user: ann", "login=bo", "plain", "words" * 20, "é" * 60, " " * 150, "token:short", "https://h.example.org/x"]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "doc_id long, text string")
+    got = secrets.find_secrets(df).select("doc_id", *secrets.RESULT).toPandas()
+    documents = df.toPandas()  # noqa: F841
+    want = duckdb.sql(secrets.SECRETS_SQL).df()
+    key = lambda d: sorted(map(tuple, d[sorted(d.columns)].astype(str).to_numpy()))
+    assert key(got) == key(want) and all(got.spans.str.contains(k).any() for k in secrets.WEAK)
+
+
 def plain_classes(texts, least=0.8):
     """Class of each text by comparing all pairs."""
     owner, h, counts = near_dedup.shingles(texts)
