@@ -15,9 +15,10 @@ over all shingles decides.
 Equal texts are one node from the start. A band's bucket may be large, so its pairs are never all
 listed: in each of a few rounds every bucket has one node (that with the most links so far) compared with
 the bucket's nodes of other classes; links join classes, and a bucket of one class is done. What's
-left undecided after the rounds is decided exactly: two texts with similarity t or more share a shingle
-among the rarest that make up 1 - t of their weight, so nodes of different classes that share such a
-shingle are compared. No link is lost to a cap.
+left undecided after the rounds is decided exactly. Let shingles stand in order of rarity: before the first
+that two texts of weights a and b share, either may hold no more than its weight less t / (1 + t) * (a + b), as
+the rest must hold what they share. So nodes of different classes that share a shingle so early are
+compared, and no others need to be. No link is lost to a cap.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal; repeated rows belong to
 one class; a class's id is its smallest document id; an empty table gives an empty result; other
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import components, new_folder, ship, staged, text_or_empty
 
 WORDS, LEAST, BANDS, ROWS, CELLS, STEPS, DRAWS = 5, 0.8, 16, 4, 18, 256, 14
-ROUNDS, BROADCAST_ROWS, HOT, CHUNK = 3, 1_000_000, 4096, 1 << 20
+ROUNDS, BROADCAST_ROWS, HOT, CHUNK = 2, 1_000_000, 1024, 1 << 19
 WORD = re.compile(r"\w+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: A weight step's weight, as a whole number.
@@ -66,7 +67,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         b = word.encode()
         h = zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -254,23 +255,26 @@ def judge(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, sent, least: float) -> DataFrame:
-    """node, shingle: each set's rarest shingles that make up more than 1 - ``least`` of its weight."""
+    """node, shingle, before: each set's rarest shingles, as far as one may be the first shared with a similar set, and the weight before each."""
 
     def run(batches):
         import pyarrow as pa
 
         df, _ = sent.value
         for batch in batches:
-            nodes, out = [], []
+            nodes, out, before = [], [], []
             for node, hashes, steps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 h, w = np.frombuffer(hashes.as_buffer(), "<u4"), WEIGHT[np.frombuffer(steps.as_buffer(), np.uint8)]
                 order = np.lexsort((h, df[h >> np.uint32(32 - CELLS)]))
-                n = int(np.searchsorted(np.cumsum(w[order]), (1 - least) * w.sum(), "right")) + 1
-                nodes += [node] * min(n, len(h))
+                past = np.cumsum(w[order]) - w[order]
+                n = int(np.searchsorted(past, (1 - least) * w.sum(), "right"))
+                nodes += [node] * n
                 out.append(h[order[:n]])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(np.concatenate([*out, np.zeros(0, "<u4")]).astype(np.int64))], ["node", "shingle"])
+                before.append(past[:n])
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(np.concatenate([*out, none]).astype(np.int64)), pa.array(np.concatenate([*before, none]))], ["node", "shingle", "before"])
 
-    return sets.select("node", "hashes", "steps").mapInArrow(run, "node string, shingle long")
+    return sets.select("node", "hashes", "steps").mapInArrow(run, "node string, shingle long, before long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, idf: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
@@ -311,8 +315,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
                 nodes = members.select("node", "weight", "root").distinct()
                 rare = rare_shingles(sets.join(nodes.select("node"), "node", "left_semi"), sent, least)
                 rare = staged(rare.join(nodes, "node"), "rare")
-                other = rare.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
-                pairs = rare.join(other, "shingle").where("root <> rb and node < b").select(F.col("node").alias("a"), "b", F.col("weight").alias("wa"), "wb")
+                other = rare.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("before").alias("bb"))
+                shared = (F.col("weight") + F.col("wb")) * (least / (1 + least))
+                early = (F.col("before") <= F.col("weight") - shared) & (F.col("bb") <= F.col("wb") - shared)
+                here = (rare["shingle"] == other["shingle"]) & (F.col("root") != F.col("rb")) & (F.col("node") < F.col("b")) & early
+                pairs = rare.join(other, here).select(F.col("node").alias("a"), "b", F.col("weight").alias("wa"), "wb")
             pairs = pairs.where((F.col("wa") >= least * F.col("wb")) & (F.col("wb") >= least * F.col("wa"))).select("a", "b").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -321,7 +328,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             tried = pairs if tried is None else tried.union(pairs)
             links = links.union(found)
             if not found.isEmpty():
-                roots = staged(components(links), "roots")
+                roots = components(links)
             if turn == rounds:
                 break
             degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("links"))
