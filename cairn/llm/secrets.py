@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import text_or_empty
+from cairn.llm.common import staged, text_or_empty
 
 # The base kinds, in order, with their patterns and least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -64,10 +64,14 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
-    """``docs`` with the counts of the base kinds, the digest of their spans, and all spans."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with the counts of the base kinds, the digest of their spans, and all spans; ``columns``: those of ``docs`` to carry (all).
+
+    Texts are searched once: what was found is written to the shared folder with the columns to carry, and the
+    parts are linked from there.
+    """
     docs = docs.drop(*RESULT)
-    names = docs.columns
+    names = docs.columns if columns is None else columns
     text = text_or_empty(F.col(text_col))
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
     found = docs.withColumns({
@@ -86,6 +90,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     found = found.withColumn("_se_k", F.when(linkable, F.sha2(text, 256)))
     found = found.withColumn("_se_b", F.array_sort(F.concat("_se_a", "_se_i", "_se_h")))
+    found = staged(found.select(*dict.fromkeys([*names, id_col]), *(c for c in found.columns if c.startswith("_se_"))), "secret-parts")
 
     parts = found.where("_se_k is not null").select(F.col(id_col).alias("_se_d"), "_se_k", "_se_b", F.explode(F.concat("_se_b", "_se_u", "_se_o", "_se_e")).alias("s"))
     over = F.exists("_se_b", lambda b: (b["start"] < F.col("s")["end"]) & (F.col("s")["start"] < b["end"]))
@@ -113,7 +118,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def secrets_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_secrets(docs).select("doc_id", *RESULT)
+    return find_secrets(docs, columns=["doc_id"]).select("doc_id", *RESULT)
 
 
 def _sql_spans(pattern: str, number: int, keep: str) -> str:
