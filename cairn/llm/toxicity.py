@@ -8,13 +8,13 @@ of clean documents. Forward-backward then gives every token's probability of bei
 score is a logistic function of its largest marginal and of how many are 0.5 or more, fitted on the same sample.
 Spans are runs of tokens with 0.5 or more, as offsets in code points, ends exclusive.
 
-The model is fitted on a bounded sample of labelled rows: about ``sample`` (2,000) for each label, chosen by a
-hash of the id; rows whose crc32(id as text) mod 5 is 0 are held out. Features are hashed to 2^18 weights.
+The model is fitted on a bounded sample of distinct labelled texts: about ``sample`` (2,000) for each label, chosen by
+a hash of the text; rows whose crc32(id as text) mod 5 is 0 are held out. Features are hashed to 2^18 weights.
 Scoring reads whole texts; chains are cut every 128 tokens from a document's start.
 
 Defined results: a null or empty text has score 0 (label 0), or the share of toxic rows if no text could be
 learnt from; without labels of both kinds the score is that share; repeated rows are each scored; a row
-labelled more than once is learnt by its highest label; an empty table gives an empty result; other
+or text labelled more than once is learnt by its highest label; an empty table gives an empty result; other
 columns pass through ``score_documents`` unless named like a result column.
 """
 
@@ -200,14 +200,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship(spark)
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_tx_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marks = marks.where((id_mod(F.col("_tx_id"), 5) != 0) & F.col("_tx_id").isNotNull() & F.col("y").isin(0, 1))
-    n = {r[0]: r[1] for r in marks.groupBy("y").count().collect()}
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    # copies count once everywhere: they would use the sample up, and make chance words look telling
+    texts = docs.select(F.col(id_col).alias("_tx_d"), digest.alias("_tx_h")).join(marks, F.col("_tx_d") == F.col("_tx_id"))
+    texts = staged(texts.groupBy("_tx_h").agg(F.max("y").alias("y")), "labelled-texts")
+    n = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if len(n) < 2:
-        prior = float(n.get(1, 0) > 0)
-        return Field(np.zeros((1 << BITS) + 1), np.zeros((2, 2)), np.array([0, 0, 30.0 if prior else -30.0]), prior)
+        total, toxic = marks.agg(F.count(F.lit(1)), F.sum("y")).first()
+        prior = toxic / total if total else 0.0
+        odd = np.clip(np.log(prior / (1 - prior)), -30, 30) if 0 < prior < 1 else 30.0 if prior else -30.0
+        return Field(np.zeros((1 << BITS) + 1), np.zeros((2, 2)), np.array([0, 0, odd]), prior)
     rate = F.when(F.col("y") == 1, sample / n[1]).otherwise(sample / n[0])
-    chosen = F.broadcast(marks.where(spread(F.col("_tx_id"), seed=9) < rate))  # about 2 * ``sample`` ids
-    rows = docs.join(chosen, F.col(id_col) == F.col("_tx_id")).select("y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = staged(rows.groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), "labelled")  # copies would make chance words look telling
+    chosen = F.broadcast(texts.where(spread(F.col("_tx_h"), seed=9) < rate))  # about 2 * ``sample`` digests
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), digest.alias("_tx_d")).join(chosen, F.col("_tx_d") == F.col("_tx_h"))
+    rows = staged(rows.select("y", "text").distinct(), "labelled")
 
     def found(batches):
         import pyarrow as pa
@@ -220,8 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["y", "f"])
 
     stats = rows.mapInArrow(found, "y int, f array<string>").select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    n1, n0 = min(n[1], sample), min(n[0], sample)
-    seeds = stats.where((F.col("a") >= max(3, n1 // 50)) & ((F.col("a") / n1) >= odds * (F.col("b") + 0.5) / n0)).select("f").collect()
+    drawn = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    n1, n0 = drawn.get(1, 0), drawn.get(0, 0)  # distinct texts, as a and b are
+    seeds = stats.where((F.col("a") >= max(3, n1 // 50)) & (F.col("a") * n0 >= odds * (F.col("b") + 0.5) * n1)).select("f").collect()
     sent = spark.sparkContext.broadcast({r[0] for r in seeds})  # each is in a fiftieth of the sampled toxic documents
 
     def windows(batches):

@@ -306,6 +306,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, nothing).count() == 0 and toxicity.score_documents(docs, nothing).where("predicted = 1").count() == 0
 
 
+@pytest.mark.parametrize("sample", [2000, 100])
+def test_copies_leave_the_other_toxic_texts_their_seeds(spark, sample):
+    rng = np.random.default_rng(5)
+    stems = [f"grub{a}{b}" for a in "abcd" for b in "xyz"]
+    rare = lambda k: " ".join([*rng.choice(WORDS, 30), stems[k % 12], *rng.choice(WORDS, 30)])
+    texts = [(k, rare(k), 1) for k in range(60)] + [(k, " ".join(rng.choice(WORDS, 60)), 0) for k in range(100, 260)]
+    texts += [(k, "hotly vile " + prose(9, 40), 1) for k in range(1000, 2200)]
+    texts = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    field = toxicity.fit(texts, texts, sample=sample)
+    got = rows(toxicity.score_documents(texts, field))
+    assert all(r["predicted"] == r["toxic"] for r in got if r["doc_id"] < 1000)  # of one text alone nothing can be learnt
+
+
 def test_marginals_match_all_paths():
     import itertools
 
