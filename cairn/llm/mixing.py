@@ -5,13 +5,13 @@ weight w, block j (from 0) is released at slot floor(j / w) and due by slot ceil
 slot the released block with the earliest deadline goes next, which keeps every source within
 less than one block of its target at each slot.
 
-Weights are multiples of 1/Q, so the schedule repeats after Q slots, in which a source of weight
-q/Q gets exactly q blocks. Only that one period is simulated, from the weights alone; block j of a
-source then sits in period j div q at the place of the period's (j mod q)-th block of that source. A
-row's place thus needs its number within its source and nothing else.
+Weights are taken as exact rationals, so nothing is rounded however long the schedule is. The driver goes through
+it block by block, from the weights and the sources' numbers of rows alone, and keeps three numbers for
+each block of 16 rows; rows find their block's slot by a join.
 
 Defined results: a source that has run out leaves its slots empty, which the order of ``position``
-closes, so the others go on in their proportions; no row is dropped or repeated. A null source is a
+closes, so the others go on in their proportions; once the sources left have under 1/64 of the weights, the
+empty slots aren't gone through any more, and windows hold as before. No row is dropped or repeated. A null source is a
 source of its own; repeated rows keep all their copies; an empty table gives an empty result.
 Sources that given weights leave out, or give 0, come after all others, in a schedule of their own.
 """
@@ -19,7 +19,10 @@ Sources that given weights leave out, or give 0, come after all others, in a sch
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,16 @@ from pyspark.sql import functions as F
 from cairn.llm.common import rank_in_group
 
 RESULT = ("source_rank", "block", "slot", "position")
+BROADCAST_ROWS = 1_000_000
+
+
+def in_order(keys) -> list:
+    return sorted(keys, key=lambda k: (k is not None, str(k)))
 
 
 def quantised(weights: Mapping, period: int = 1024) -> tuple[dict, int]:
     """Whole shares of a period for each key, 1 at least, and the period: ``period`` or the power of two over four for each key."""
-    keys = sorted(weights, key=lambda k: (k is not None, str(k)))
+    keys = in_order(weights)
     while period < 4 * len(keys):
         period *= 2
     total = sum(weights.values())
@@ -50,30 +58,46 @@ def quantised(weights: Mapping, period: int = 1024) -> tuple[dict, int]:
     return share, period
 
 
-def pfair_period(share: Mapping, period: int) -> list[tuple]:
-    """(slot, key, number of the key's block) for each slot of one period, earliest deadline first among released blocks."""
-    keys = list(share)
-    release: dict[int, list] = {0: [(k, 0) for k in range(len(keys))]}
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
-        for k, j in release.pop(slot, ()):
-            q = share[keys[k]]
-            heapq.heappush(ready, (-(-(j + 1) * period // q), k, j))
-        _, k, j = heapq.heappop(ready)
-        out.append((slot, keys[k], j))
-        if j + 1 < share[keys[k]]:
-            at = (j + 1) * period // share[keys[k]]
-            release.setdefault(max(at, slot + 1), []).append((k, j + 1))
-    return out
-
-
-def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.7, block: int = 16, period: int = 1024, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def pfair(weights: Mapping, blocks: Mapping):
+    """(slot, number of the key in order, number of the key's block) for all ``blocks``, earliest deadline first among released blocks."""
+    keys = in_order(weights)
+    exact = [Fraction(weights[k]) for k in keys]
+    unit = math.lcm(*(w.denominator for w in exact))
+    share = [int(w * unit) for w in exact]
+    total, own = sum(share), [blocks[k] for k in keys]
+    live, left = total, sum(own)
+    done, ready, slot = [0] * len(keys), [], 0
+    waiting = [(0, k) for k in range(len(keys))]
+    while left:
+        sparse = live * 64 < total
+        while waiting and waiting[0][0] <= slot:
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // share[k]), k))
+        if not ready:  # only where blocks of sources that ran out are left away
+            slot = waiting[0][0]
+            continue
+        _, k = heapq.heappop(ready)
+        if done[k] < own[k]:
+            yield slot, k, done[k]
+            left -= 1
+            live -= share[k] if done[k] + 1 == own[k] else 0
+        elif sparse:
+            continue
+        done[k] += 1
+        slot += 1
+        heapq.heappush(waiting, (max(slot, done[k] * total // share[k]), k))
+
+
+def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.7, block: int = 16, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``source_rank`` (number within its source), ``block``, ``slot`` and ``position``; sorting by ``position`` gives the mixture.
 
     ``weights`` maps sources to target weights; without it a source's weight is its number of rows to
-    the power ``temperature``. The driver holds one row for each source, as the weights do.
+    the power ``temperature``. ``period``: round the weights to multiples of 1/period first (as ``quantised`` does).
+    The driver holds one row for each source, as the weights do, and 20 bytes for each block.
     """
+    import numpy as np
+    import pyarrow as pa
+
     spark = docs.sparkSession
     docs = docs.drop(*RESULT)
     names = docs.columns
@@ -84,21 +108,27 @@ def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.
         weights = {k: n**temperature for k, n in counts.items()}
     given = {k: w for k, w in weights.items() if w > 0 and k in counts}
     rest = {k: float(n) for k, n in counts.items() if k not in given}
-    rows, start = [], 0
+    names_in, start = [], 0
+    who, which, when = array("i"), array("q"), array("q")
     for part in (given, rest):
         if part:
-            share, length = quantised(part, period)
-            rows += [(k, j, slot, share[k], length, start) for slot, k, j in pfair_period(share, length)]
-            start += max(-(-(-(-counts[k] // block)) // share[k]) for k in part) * length
-    table = spark.createDataFrame(rows, "_mx_k string, _mx_j long, _mx_slot long, _mx_q long, _mx_p long, _mx_start long")
-    shares = table.where("_mx_j = 0").select(F.col("_mx_k").alias("_mx_k2"), F.col("_mx_q").alias("_mx_q2"))
+            keys = in_order(part)
+            part = part if period is None else quantised(part, period)[0]
+            for slot, k, j in pfair(part, {k: -(-counts[k] // block) for k in keys}):
+                who.append(len(names_in) + k)
+                which.append(j)
+                when.append(start + slot)
+            start = when[-1] + 1
+            names_in += keys
+    table = pa.table({"_mx_i": np.frombuffer(who, np.int32), "_mx_j": np.frombuffer(which, np.int64), "_mx_slot": np.frombuffer(when, np.int64)})
+    table = spark.createDataFrame(table)
+    sources = spark.createDataFrame(list(enumerate(names_in)), "_mx_n int, _mx_k string")
     keyed = docs.withColumn("_mx_s", F.col(source_col).cast("string"))
     keyed = rank_in_group(keyed, "_mx_s", [id_col], sum(counts.values()), "source_rank")
     keyed = keyed.withColumn("block", F.expr(f"source_rank div {block}"))
-    # a row for each source, and a row for each slot of a period: bounded by the weights
-    keyed = keyed.join(F.broadcast(shares), F.col("_mx_s").eqNullSafe(F.col("_mx_k2")))
-    keyed = keyed.join(F.broadcast(table), F.col("_mx_s").eqNullSafe(F.col("_mx_k")) & (F.col("block") % F.col("_mx_q2") == F.col("_mx_j")))
-    keyed = keyed.withColumn("slot", F.expr("_mx_start + (block div _mx_q) * _mx_p + _mx_slot"))
+    keyed = keyed.join(F.broadcast(sources), F.col("_mx_s").eqNullSafe(F.col("_mx_k")))
+    side = F.broadcast(table) if len(who) <= BROADCAST_ROWS else table
+    keyed = keyed.join(side, (F.col("_mx_n") == F.col("_mx_i")) & (F.col("block") == F.col("_mx_j"))).withColumnRenamed("_mx_slot", "slot")
     return keyed.select(*names, "source_rank", "block", "slot", F.expr(f"slot * {block} + source_rank % {block}").alias("position"))
 
 

@@ -103,6 +103,21 @@ def test_mixing_keeps_every_row_and_matches_the_slot_by_slot_schedule(spark, doc
     assert max(r["position"] for r in left_out if r["source"] == "a") < min(r["position"] for r in left_out if r["source"] != "a")
 
 
+def test_mixing_stays_within_a_block_of_the_given_weights(spark):
+    many = spark.range(12_000).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    order = [r["source"] for r in sorted(rows(mixing.mix(many, {"s0": 1, "s1": 1, "s2": 1}, block=1)), key=lambda r: r["position"])]
+    at = np.cumsum([[s == f"s{k}" for k in range(3)] for s in order], axis=0)
+    assert np.abs(at - np.arange(1, 12_001)[:, None] / 3).max() < 1
+    weights = [(k + 1) ** 0.7 for k in range(20)] + [1e-5]
+    names, total, seen = [f"{k:02}" for k in range(21)], sum(weights), Counter()
+    for slot, k, j in mixing.pfair(dict(zip(names, weights)), {f"{k:02}": 3000 * (k + 1) if k < 20 else 1 for k in range(21)}):
+        assert j == seen[k] and int(j * total / weights[k]) <= slot < (j + 1) * total / weights[k] + 1
+        seen[k] += 1
+    assert seen[19] == 60_000 and seen[20] == 1
+    far = {r["source"]: r["slot"] for r in rows(mixing.mix(many.where("doc_id < 50 and source <> 's2'"), {"s0": 1, "s1": 1e-5}, block=1).orderBy("slot"))}
+    assert far["s0"] < 30 and far["s1"] >= 15 * 100_001
+
+
 def test_language_id(spark, docs, none):
     learnt = [(k, f"{x} " * 30, lang) for k, (x, lang) in enumerate([("the thing with that", "en"), ("der die das und", "de")] * 20)]
     train = spark.createDataFrame(learnt, "doc_id long, text string, lang string")
