@@ -209,7 +209,9 @@ def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, per_band: in
 
     Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are candidates. A band's
     bucket never lists its pairs: in each round one of its nodes is compared with those of other classes, links join
-    classes, and a bucket of one class is done. While it has several, another node has its turn, so no link is lost.
+    classes, and a bucket of one class is done. While it has several, another node has its turn, so among texts that share a band
+    no link is lost. A pair at a likeness of exactly 0.8 (82.4 % equal slots) shares one of 16 bands of 8 with probability
+    1 - (1 - 0.824^8)^16 = 0.978, counting slots as independent, so about 2 % of such pairs aren't candidates.
     """
     step = SLOTS // bands
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
