@@ -112,12 +112,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def exact_dedup_query(spark, sf_dir: str) -> DataFrame:
+def exact_duplicates_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_duplicates(docs, columns=["doc_id"]).select("doc_id", *RESULT)
 
 
-EXACT_DEDUP_SQL = f"""
+EXACT_DUPLICATES_SQL = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,

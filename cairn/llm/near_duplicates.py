@@ -355,5 +355,5 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.join(side, F.col(id_col).cast("long") == F.col("_nd_id"), "left_anti")
 
 
-def near_dedup_query(spark, sf_dir: str) -> DataFrame:
+def near_duplicates_query(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import edit_fingerprint, exact_dedup, language_id, mixing, near_dedup, packing, secrets, token_output, toxicity, warc
+from cairn.llm import edit_fingerprint, exact_duplicates, language_id, mixing, near_duplicates, packing, secrets, token_output, toxicity, warc
 from cairn.llm.common import bucket_of, components, new_folder, rank_in_group
 from cairn.llm.tokens import IdEncoder, tokenizer_path
 
@@ -55,7 +55,7 @@ def test_exact_duplicates(docs, none):
     groups = defaultdict(list)
     for r in ROWS:
         groups[low(r[1])].append(r[0])
-    got = rows(exact_dedup.exact_duplicates(docs))
+    got = rows(exact_duplicates.exact_duplicates(docs))
     assert len(got) == len(ROWS) and "score" in got[0]
     for r in got:
         ids = groups[low(r["text"])]
@@ -63,12 +63,12 @@ def test_exact_duplicates(docs, none):
         assert r["text_sha256"] == hashlib.sha256(low(r["text"]).encode()).hexdigest()
     kept = [r for r in got if r["kept"]]
     assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
-    assert exact_dedup.exact_duplicates(none).count() == 0
+    assert exact_duplicates.exact_duplicates(none).count() == 0
 
 
 def test_exact_duplicates_of_a_hot_text_over_many_ranges(spark):
     copies = [(k, "hot text" if k % 2 else f"text {k % 300}") for k in range(3000)]
-    got = rows(exact_dedup.exact_duplicates(spark.createDataFrame(copies, "doc_id long, text string").repartition(5), target_bytes=100))
+    got = rows(exact_duplicates.exact_duplicates(spark.createDataFrame(copies, "doc_id long, text string").repartition(5), target_bytes=100))
     size, top = Counter(t for _, t in copies), {}
     for k, t in copies:
         top[t] = max(k, top.get(t, -1))
@@ -173,10 +173,10 @@ def test_sql_agrees_on_planted_parts(spark):
 
 def plain_classes(texts, least=0.8):
     """Class of each text by comparing all pairs."""
-    owner, h, counts = near_dedup.shingles(texts)
-    df = np.bincount(near_dedup.cell(h), minlength=1 << near_dedup.CELLS)
-    steps = near_dedup.weight_steps(h, counts, near_dedup.inverse_frequency(df, len(texts), 0.5))
-    sets = [((h[owner == k] >> np.uint64(32)).astype("<u4"), near_dedup.WEIGHT[steps[owner == k]]) for k in range(len(texts))]
+    owner, h, counts = near_duplicates.shingles(texts)
+    df = np.bincount(near_duplicates.cell(h), minlength=1 << near_duplicates.CELLS)
+    steps = near_duplicates.weight_steps(h, counts, near_duplicates.inverse_frequency(df, len(texts), 0.5))
+    sets = [((h[owner == k] >> np.uint64(32)).astype("<u4"), near_duplicates.WEIGHT[steps[owner == k]]) for k in range(len(texts))]
     root = list(range(len(texts)))
 
     def top(k):
@@ -186,7 +186,7 @@ def plain_classes(texts, least=0.8):
 
     for a in range(len(texts)):
         for b in range(a):
-            if texts[a] == texts[b] or len(sets[a][0]) and len(sets[b][0]) and near_dedup.weighted_jaccard(*sets[a], *sets[b]) >= least:
+            if texts[a] == texts[b] or len(sets[a][0]) and len(sets[b][0]) and near_duplicates.weighted_jaccard(*sets[a], *sets[b]) >= least:
                 root[max(top(a), top(b))] = min(top(a), top(b))
     return [top(k) for k in range(len(texts))]
 
@@ -203,26 +203,26 @@ def test_near_duplicates_match_all_pairs(spark, rounds):
             texts.append(" ".join(own))
     texts += [texts[0], "", "!!", "one two", "one two three", "Four words only here", "four WORDS only, here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(df, rounds=rounds))}
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_duplicates.classes(df, rounds=rounds))}
     assert [got[k] for k in range(len(texts))] == plain_classes(texts)
 
 
 def test_near_duplicates_edge_cases(docs, none):
-    got = rows(near_dedup.classes(docs))
+    got = rows(near_duplicates.classes(docs))
     assert len(got) == len(ROWS) and {r["class_id"] for r in got if r["doc_id"] in (0, 1)} == {0} and {r["class_id"] for r in got if r["doc_id"] in (2, 3)} == {2}
-    assert near_dedup.classes(none).count() == 0
-    kept = rows(near_dedup.distinct_documents(docs))
+    assert near_duplicates.classes(none).count() == 0
+    kept = rows(near_duplicates.distinct_documents(docs))
     assert 2 in [r["doc_id"] for r in kept] and 3 not in [r["doc_id"] for r in kept] and "bands" in kept[0]
 
 
 def test_samples_agree_as_often_as_weighted_jaccard_says():
     a, b = prose(7, 300).split(), prose(7, 300).split()
     b[250:] = prose(8, 50).split()
-    owner, h, counts = near_dedup.shingles([" ".join(a), " ".join(b)])
-    steps = near_dedup.weight_steps(h, counts, np.ones(1 << near_dedup.CELLS))
-    found = near_dedup.samples(h, steps, np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
-    sets = [((h[owner == k] >> np.uint64(32)).astype("<u4"), near_dedup.WEIGHT[steps[owner == k]]) for k in (0, 1)]
-    assert abs((found[0] == found[1]).mean() - near_dedup.weighted_jaccard(*sets[0], *sets[1])) < 0.15
+    owner, h, counts = near_duplicates.shingles([" ".join(a), " ".join(b)])
+    steps = near_duplicates.weight_steps(h, counts, np.ones(1 << near_duplicates.CELLS))
+    found = near_duplicates.samples(h, steps, np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
+    sets = [((h[owner == k] >> np.uint64(32)).astype("<u4"), near_duplicates.WEIGHT[steps[owner == k]]) for k in (0, 1)]
+    assert abs((found[0] == found[1]).mean() - near_duplicates.weighted_jaccard(*sets[0], *sets[1])) < 0.15
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
