@@ -7,7 +7,8 @@ less than one block of its target at each slot.
 
 Weights are taken as exact rationals, so nothing is rounded however long the schedule is. The driver goes through
 it block by block, from the weights and the sources' numbers of rows alone, and keeps three numbers for
-each block of 16 rows; rows find their block's slot by a join.
+each block; rows find their block's slot by a join. A block has 16 rows, or more where that would make
+over a million blocks, so what the driver holds and broadcasts doesn't grow with the corpus.
 
 Defined results: a source that has run out leaves its slots empty, which the order of ``position``
 closes, so the others go on in their proportions; once the sources left have under 1/64 of the weights, the
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import rank_in_group
 
 RESULT = ("source_rank", "block", "slot", "position")
-BROADCAST_ROWS = 1_000_000
+#: The most blocks of a schedule, beside one for each source.
+BLOCKS = 1_000_000
 
 
 def in_order(keys) -> list:
@@ -88,12 +90,13 @@ def pfair(weights: Mapping, blocks: Mapping):
         heapq.heappush(waiting, (max(slot, done[k] * total // share[k]), k))
 
 
-def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.7, block: int = 16, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.7, block: int | None = None, period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` with ``source_rank`` (number within its source), ``block``, ``slot`` and ``position``; sorting by ``position`` gives the mixture.
 
     ``weights`` maps sources to target weights; without it a source's weight is its number of rows to
     the power ``temperature``. ``period``: round the weights to multiples of 1/period first (as ``quantised`` does).
-    The driver holds one row for each source, as the weights do, and 20 bytes for each block.
+    ``block``: rows in a block; by default 16, or as many as make a million blocks of all rows. The driver
+    holds one row for each source, as the weights do, and 20 bytes for each block.
     """
     import numpy as np
     import pyarrow as pa
@@ -104,6 +107,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.
     counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string")).count().collect()}
     if not counts:
         return docs.withColumns({c: F.lit(None).cast("long") for c in RESULT})
+    block = block or max(16, -(-sum(counts.values()) // BLOCKS))
     if weights is None:
         weights = {k: n**temperature for k, n in counts.items()}
     given = {k: w for k, w in weights.items() if w > 0 and k in counts}
@@ -127,8 +131,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, temperature: float = 0.
     keyed = rank_in_group(keyed, "_mx_s", [id_col], sum(counts.values()), "source_rank")
     keyed = keyed.withColumn("block", F.expr(f"source_rank div {block}"))
     keyed = keyed.join(F.broadcast(sources), F.col("_mx_s").eqNullSafe(F.col("_mx_k")))
-    side = F.broadcast(table) if len(who) <= BROADCAST_ROWS else table
-    keyed = keyed.join(side, (F.col("_mx_n") == F.col("_mx_i")) & (F.col("block") == F.col("_mx_j"))).withColumnRenamed("_mx_slot", "slot")
+    keyed = keyed.join(F.broadcast(table) if len(who) <= BLOCKS + len(counts) else table, (F.col("_mx_n") == F.col("_mx_i")) & (F.col("block") == F.col("_mx_j"))).withColumnRenamed("_mx_slot", "slot")
     return keyed.select(*names, "source_rank", "block", "slot", F.expr(f"slot * {block} + source_rank % {block}").alias("position"))
 
 
