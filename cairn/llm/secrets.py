@@ -21,42 +21,62 @@ Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import staged, text_or_empty
 
 # The base kinds, in order, with their patterns and least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
+# A run that's too short can be left out of these two patterns: no part of it can match either.
+ACCESS = f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
+HEX = f"[0-9a-f]{{{HEX_LEAST},}}"
 BASE = ("assign", "access", "hex")
 
 # The weak kinds. An opaque token is kept if it has a digit, a capital and a small letter.
-ACCOUNT = r"""(?:user|username|login|account|client_id|account_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]+"""
+ACCOUNT = r"""(?i:user|username|login|account|client_id|account_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]+"""
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
-ENDPOINT = r"""https?://[A-Za-z0-9.-]+[A-Za-z0-9][^\x20\t\r\n"'<>]*"""
+ENDPOINT = r"""(?i:https?)://[A-Za-z0-9.-]+[A-Za-z0-9][^\x20\t\r\n"'<>]*"""
 WEAK = ("account", "opaque", "endpoint")
 RESULT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Matches whose places are summed at a time: a list that grows within a fold is copied at each step.
+BLOCK = 256
 
 
-def _spans(text: Column, pattern: str, number: int, keep, gate: str | None = None) -> Column:
-    """The matches of ``pattern`` that ``keep`` accepts, as structs (start, number of the kind, end)."""
-    pat = F.lit(pattern)
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pat, F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas compute what they take from outside at each step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _spans(text: Column, pattern: str, number: int, keep=None) -> Column:
+    """The matches of ``pattern`` that ``keep`` accepts, as structs (start, number of the kind, end).
+
+    A match starts after all pieces and matches before it. These are summed within blocks of matches, then
+    over the blocks, so a text takes time in proportion to its matches.
+    """
+    none = F.array().cast(SPAN)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    span = lambda a, e: F.struct(a.cast("int").alias("start"), F.lit(number).alias("kind"), e.cast("int").alias("end"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.char_length(x["p"])
         m = F.coalesce(x["m"], F.lit(""))
         e = a + F.char_length(m)
-        new = F.array(F.struct(a.alias("start"), F.lit(number).alias("kind"), e.alias("end")))
-        return F.struct(e.alias("at"), F.when((F.char_length(m) > 0) & keep(m), F.concat(acc["found"], new)).otherwise(acc["found"]).alias("found"))
+        kept = F.char_length(m) > 0 if keep is None else (F.char_length(m) > 0) & keep(m)
+        return F.struct(e.alias("at"), F.when(kept, F.concat(acc["found"], F.array(span(a, e)))).otherwise(acc["found"]).alias("found"))
+
+    def block(k: Column, z: Column) -> Column:
+        return F.aggregate(F.slice(z, k * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+
+    def shifted(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offs"))
+        offs = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"])).alias("offs")), lambda acc: acc["offs"])
+        return F.flatten(F.zip_with(blocks, offs, lambda b, o: F.transform(b["found"], lambda s: span(s["start"] + o, s["end"] + o))))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(gate or pattern), found).otherwise(F.array().cast(SPAN))
+    blocks = _bound(zipped, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda k: block(k, z)))
+    return F.when(text.rlike(pattern), _bound(blocks, shifted)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:
@@ -76,11 +96,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
     found = docs.withColumns({
         "_se_a": _spans(text, ASSIGN, 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST),
-        "_se_i": _spans(text, ACCESS, 1, lambda m: F.char_length(m) >= ACCESS_LEAST),
-        "_se_h": _spans(text, HEX, 2, lambda m: F.char_length(m) >= HEX_LEAST, gate=f"[0-9a-f]{{{HEX_LEAST}}}"),
-        "_se_u": _spans(text, ACCOUNT, 3, lambda m: F.lit(True)),
+        "_se_i": _spans(text, ACCESS, 1),
+        "_se_h": _spans(text, HEX, 2),
+        "_se_u": _spans(text, ACCOUNT, 3),
         "_se_o": _spans(text, OPAQUE, 4, mixed),
-        "_se_e": _spans(text, ENDPOINT, 5, lambda m: F.lit(True)),
+        "_se_e": _spans(text, ENDPOINT, 5),
     })
     # a text's spans depend on the text alone; the id keeps equal texts apart, so that copies don't make a hot key
     linkable = (
@@ -92,9 +112,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("_se_b", F.array_sort(F.concat("_se_a", "_se_i", "_se_h")))
     found = staged(found.select(*dict.fromkeys([*names, id_col]), *(c for c in found.columns if c.startswith("_se_"))), "secret-parts")
 
-    parts = found.where("_se_k is not null").select(F.col(id_col).alias("_se_d"), "_se_k", "_se_b", F.explode(F.concat("_se_b", "_se_u", "_se_o", "_se_e")).alias("s"))
-    over = F.exists("_se_b", lambda b: (b["start"] < F.col("s")["end"]) & (F.col("s")["start"] < b["end"]))
-    parts = parts.where((F.col("s.kind") != 4) | ~over).select("_se_d", "_se_k", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end")).distinct()
+    parts = found.where("_se_k is not null").select(F.col(id_col).alias("_se_d"), "_se_k", F.explode(F.concat("_se_b", "_se_u", "_se_o", "_se_e")).alias("s"))
+    parts = parts.select("_se_d", "_se_k", "s.*").distinct()
+    # an opaque token goes if a base span before it reaches into it or one after it starts within it
+    base, own = F.col("kind") < 3, Window.partitionBy("_se_d", "_se_k")
+    past = own.orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = own.orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("reach", F.max(F.when(base, F.col("end"))).over(past)).withColumn("following", F.min(F.when(base, F.col("start"))).over(ahead))
+    over = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following") < F.col("end"), F.lit(False))
+    parts = parts.where((F.col("kind") != 4) | ~over).drop("reach", "following")
     # each part meets the identifiers and secrets whose interval, widened by the scope, overlaps it
     helpers = parts.where("kind < 5").select(F.col("_se_d").alias("d"), F.col("_se_k").alias("k"), F.col("kind").alias("hk"), F.col("start").alias("hs"), F.col("end").alias("he"))
     helpers = helpers.withColumn("bin", F.explode(F.sequence(F.floor(F.greatest(F.col("hs") - scope, F.lit(0)) / scope), F.floor((F.col("he") + scope) / scope))))
@@ -137,8 +163,8 @@ SECRETS_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT rid, doc_id,
     {_sql_spans(ASSIGN, 0, f"length(regexp_extract(s.m, '{_Q}', 2)) >= 8")} AS a,
-    {_sql_spans(ACCESS, 1, "length(s.m) >= 16")} AS i,
-    {_sql_spans(HEX, 2, "length(s.m) >= 32")} AS h,
+    {_sql_spans(ACCESS, 1, "true")} AS i,
+    {_sql_spans(HEX, 2, "true")} AS h,
     {_sql_spans(ACCOUNT, 3, "true")} AS u,
     {_sql_spans(OPAQUE, 4, "regexp_matches(s.m, '[0-9]') AND regexp_matches(s.m, '[A-Z]') AND regexp_matches(s.m, '[a-z]')")} AS o,
     {_sql_spans(ENDPOINT, 5, "true")} AS e FROM d),
