@@ -3,33 +3,35 @@
 Shared random walks over characters (the same bits for all texts): at time t the walk shows the
 character under its pointer, and moves on if that character's bit for time t is 1. So texts with a small edit
 distance show the same characters at most times (the Hamming distance of the walks is small), as two walks that
-differ meet again soon after an edit. A character's stay is a row of a table (its bits' next 1), so a text of n
-characters takes n steps, done for many texts at once in numpy.
+differ meet again soon after an edit. A character counts together with the one after it, so that unlike texts seldom show
+the same. Its stay is a row of a table (its bits' next 1), so a text of n characters takes n steps, done for many
+texts at once in numpy.
 
 A fingerprint has ``SLOTS`` hex digits. Slot k shows the character (hashed to 4 bits) at the time that its own
 random order of times puts first among the times of a text of that length (2 n on average); texts
 of like length sample the same times. ``likeness`` is the share of equal slots above chance, from 0 to 1.
-``similar`` bands the slots and verifies candidates by likeness.
+``similar`` bands the slots, verifies candidates by likeness and joins links to classes.
 
 Defined results: a null text counts as empty, whose fingerprint is all ``0``; equal texts have equal
-fingerprints; rows with equal ids follow each other by text; the only row is its own next; an empty
-table gives an empty result; other columns pass through where the operator's docstring says so.
+fingerprints; rows with equal ids follow each other by text; the only row is its own next; texts of a class
+without any id have a null class; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bucket_of, components, id_buckets, ship, staged, text_or_empty
+from cairn.llm.common import BROADCAST_ROWS, bucket_of, components, id_buckets, ship, staged, text_or_empty
 
 SLOTS, PERIOD, CLASSES, LANES, CHARS, SERIAL = 128, 4096, 256, 2048, 6 << 20, 24
 #: The chance that two unrelated texts show equal digits in a slot.
-CHANCE = 0.12
+CHANCE = 0.08
 _SEED = 20240611
 
 
@@ -114,8 +116,11 @@ def walk(lanes: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def classes_of(text: str) -> np.ndarray:
+    """A class from 0 to 255 for each character and its follower (none after the last)."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return ((c * np.uint32(0x9E3779B1) >> np.uint32(8)) ^ c).astype(np.uint8).astype(np.int32)
+    x = c * np.uint32(0x9E3779B1)
+    x[:-1] += c[1:] * np.uint32(0x85EBCA77)
+    return (x >> np.uint32(24)).astype(np.int32)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
@@ -204,42 +209,72 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, per_band: int = 8) -> DataFrame:
-    """``prints(doc_id, fingerprint)`` with ``class_id``: the smallest id among texts joined by links of ``least`` likeness or more.
+def alike(pairs: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs(a, b, fa, fb)`` whose fingerprints have a likeness of ``least`` or more, as ``a, b``."""
+    equal = math.ceil((least * (1 - CHANCE) + CHANCE) * SLOTS - 1e-9)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fa, fb = (np.frombuffer("".join(batch.column(k).to_pylist()).encode(), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
+            kept = batch.filter(pa.array((fa == fb).sum(1) >= equal))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    return pairs.select("a", "b", "fa", "fb").mapInArrow(run, "a string, b string")
+
+
+def similar(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame:
+    """``prints`` (a table with doc_id and fingerprint) with ``class_id``: the smallest id among texts joined by links of ``least`` likeness or more.
 
     Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are candidates. A band's
-    bucket never lists its pairs: in each round one of its nodes is compared with those of other classes, links join
-    classes, and a bucket of one class is done. While it has several, another node has its turn, so among texts that share a band
-    no link is lost. A pair at a likeness of exactly 0.8 (82.4 % equal slots) shares one of 16 bands of 8 with probability
-    1 - (1 - 0.824^8)^16 = 0.978, counting slots as independent, so about 2 % of such pairs aren't candidates.
+    bucket never lists its pairs at once: in each round some of its nodes, drawn by a hash, are compared with those of
+    other classes; links join classes, and a bucket of one class is done. The first round draws about one node and each
+    further one four times as many, so the rounds are as many as the logarithm of the largest bucket that still holds several
+    classes, and in the last of them all its nodes are drawn: among texts that share a band no link is lost. A pair at a
+    likeness of exactly 0.8 (81.6 % equal slots) shares one of 16 bands of 8 with probability
+    1 - (1 - 0.816^8)^16 = 0.97, counting slots as independent; likelier pairs more often.
     """
-    step = SLOTS // bands
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    keys = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("fingerprint", k * step + 1, per_band)) for k in range(bands)))
-    rest = nodes.select(F.col("fingerprint").alias("node"), F.explode(keys).alias("band"))
-    rest = staged(rest.select("band", "node", F.col("node").alias("root"), F.lit(False).alias("used")), "bands")
-    chars = lambda c: F.split(c, "")
-    same = F.aggregate(F.zip_with(chars(F.col("node")), chars(F.col("first")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = F.greatest(F.lit(0.0), (same / SLOTS - CHANCE) / (1 - CHANCE)) >= least
-    roots = prints.sparkSession.createDataFrame([], "node string, root string")
-    links = None
-    while True:
-        split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(~F.col("used"), F.struct("node", "root"))).alias("f"))
-        split = split.where("lo <> hi and f is not null").select("band", F.col("f.node").alias("first"), F.col("f.root").alias("own"))
-        rest = staged(rest.join(split, "band"), "bands")
-        if rest.isEmpty():
-            break
-        found = staged(rest.where("root <> own").where(near).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "links")
+    ship(prints.sparkSession)
+    spark, step = prints.sparkSession, SLOTS // bands
+    node = F.md5("fingerprint")
+    nodes = prints.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("fingerprint", k * step + 1, step)) for k in range(bands)))
+    keyed = prints.select(node.alias("node"), F.col("fingerprint").alias("f"), F.explode(keys).alias("band"))
+    shared = staged(keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band"), "bands")
+    rest = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band").distinct()
+    rest = staged(rest.select("band", "node", "f", F.col("node").alias("root"), F.lit(False).alias("used")), "buckets")
+    roots = spark.createDataFrame([], "node string, root string")
+    links, turn = None, 0
+    while not rest.isEmpty():
+        order = F.xxhash64("node", "band", F.lit(turn))
+        sizes = rest.where("not used").groupBy("band").agg(F.count(F.lit(1)).alias("free"), F.min(order).alias("first"))
+        drawn = rest.where("not used").join(sizes, "band").where((order == F.col("first")) | (F.pmod(F.shiftright(order, 8), F.col("free")) < 4**turn))
+        drawn = staged(drawn.select("band", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("root").alias("rb")), "drawn")
+        pairs = rest.join(drawn, "band").where("root <> rb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("f")).otherwise(F.col("fb")).alias("fa"), F.when(F.col("node") < F.col("b"), F.col("fb")).otherwise(F.col("f")).alias("fb"))
+        found = staged(alike(pairs.distinct(), least), "links")
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             roots = components(links)
-        rest = rest.select("band", "node", (F.col("used") | (F.col("node") == F.col("first"))).alias("used")).join(roots, "node", "left")
-        rest = rest.select("band", "node", F.coalesce("root", "node").alias("root"), "used")
-    own = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
-    top = own.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    classes = own.join(top, "root").select("fingerprint", "class_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "class_id")
+        rest = rest.drop("root").join(drawn.select("band", F.col("b").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left").join(roots, "node", "left")
+        rest = staged(rest.select("band", "node", "f", F.coalesce("root", "node").alias("root"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")), "buckets")
+        split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("used")).alias("free")).where("lo <> hi and free > 0").select("band")
+        rest = staged(rest.join(split, "band", "left_semi"), "buckets")
+        turn += 1
+    # only nodes of several rows or of a class with others need to be looked up
+    own = nodes.join(roots, "node", "left").select("node", "least_id", "n", F.col("root"), F.coalesce("root", "node").alias("top"))
+    low = own.where("root is not null").groupBy("top").agg(F.min("least_id").alias("low"))
+    own = own.join(low, "top", "left").where("n > 1 or root is not null").select(F.col("node").alias("_ef_n"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("low")).alias("_ef_c"))
+    own = staged(own, "classes")
+    side = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    classed = F.when(F.col("_ef_n").isNull(), F.col("doc_id")).otherwise(F.col("_ef_c")).alias("class_id")
+    return prints.join(side, node == F.col("_ef_n"), "left").select(*prints.columns, classed)
+
+
+def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """``fingerprint_neighbours`` with ``class_id``, by ``similar``."""
+    return similar(staged(fingerprint_neighbours(docs, id_col, text_col), "fingerprints"), least)
 
 
 def edit_fingerprint_query(spark, sf_dir: str) -> DataFrame:
-    return fingerprint_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return fingerprint_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
