@@ -7,8 +7,9 @@ All but the file access is made of DataFrame operations, which run where the pag
 shuffle. Digests are labelled SHA-256 values in lowercase hex.
 
 Defined results: a null html counts as empty and a null url as empty; empty payloads give records
-with an empty block; repeated pages give repeated records with the same identifiers; an empty table
-gives no records; other columns of the input are ignored.
+with an empty block; rows that are equal in id, url and html give equal records with the same identifiers, and
+all others have identifiers of their own; comments, scripts and tags left open go on to the page's end; an empty
+table gives no records; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,18 +17,24 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import ship, text_or_empty
 
-# The patterns that turn HTML into text, in the order of their use.
-DROP = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>"
-BREAK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
-TAG = r"<[^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-BLANKS, LINES, TITLE, LINK = r"[ \t\r\f]+", r" ?\n[ \n]*", r"(?is)<title\b[^>]*>(.*?)</title\s*>", r"(?i)<a\s[^>]*\bhref\s*=\s*[\"']([^\"'<>]*)[\"']"
+# The patterns that turn HTML into text, in the order of their use. What's left open goes on to the
+# end of the page, as in browsers; so every opening matches and nothing is searched twice.
+DROP = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{x}\b[^>]*(?:\z|>.*?(?:</{x}\s*>|\z))" for x in ("script", "style", "noscript"))
+BREAK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*(?:>|\z)"
+TAG = r"<(?:/?[A-Za-z]|[!?/])[^>]*(?:>|\z)"
+BLANKS, LINES = r"[ \t\r\f]+", r" ?\n[ \n]*"
+TITLE, TITLE_END = r"(?i)<title\b[^>]*(?:>|\z)", r"(?i)</title\s*>"
+ANCHOR, HREF = r"(?i)<a\s[^>]*", r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Named entities by the standard library's table of HTML 4; a no-break space is a blank.
+NAMES = {**{name: chr(n) for name, n in sorted(name2codepoint.items())}, "apos": "'", "nbsp": " "}
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -40,13 +47,27 @@ def _digest(col: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(col, 256))
 
 
+def decoded(text: Column) -> Column:
+    """``text`` with its entities, named and numeric, as characters; what's no known entity stays as it is."""
+    names = F.split(F.lit(",".join(NAMES)), ",")
+    chars = F.split(F.lit(",".join(NAMES.values())), ",")
+
+    def one(x: Column, i: Column) -> Column:
+        m = F.regexp_extract(x, ENTITY, 1)
+        number = F.when(F.lower(F.substring(m, 2, 1)) == "x", F.conv(F.substring(m, 3, 6), 16, 10)).otherwise(F.substring(m, 2, 7)).cast("int")
+        usable = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        number = F.when(number == 160, 32).when(usable, number).otherwise(0xFFFD)
+        char = F.when(m.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.try_element_at(chars, F.nullif(F.array_position(names, m), F.lit(0)).cast("int")))
+        return F.when(i == 0, x).when(m == "", F.concat(F.lit("&"), x)).otherwise(F.coalesce(F.concat(char, F.substr(x, F.char_length(m) + 2)), F.concat(F.lit("&"), x)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     """The text of an HTML page: scripts, styles and comments go, block tags break lines, blanks collapse."""
     t = F.regexp_replace(html, DROP, " ")
     t = F.regexp_replace(t, BREAK, "\n")
-    t = F.regexp_replace(t, TAG, "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = decoded(F.regexp_replace(t, TAG, ""))
     t = F.regexp_replace(F.regexp_replace(t, BLANKS, " "), LINES, "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", "")
 
@@ -57,7 +78,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     page = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return pages.select(
         F.col(id_col).alias("page_id"),
-        _urn(F.lit("response"), page, url).alias("record_id"),
+        _urn(F.lit("response"), page, url, F.sha2(html, 256)).alias("record_id"),
         url.alias("target_uri"),
         F.concat(F.lit(HEAD), F.octet_length(html).cast("string"), F.lit("\r\n")).alias("http_headers"),
         html.alias("payload"),
@@ -68,8 +89,10 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derive(source: DataFrame) -> DataFrame:
     """Two records for each response: record_type ``metadata`` and ``conversion``."""
     text = plain_text(F.col("payload"))
-    title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), TAG, ""), r"[ \t\r\n\f]+", " "))
-    links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
+    inside = F.split(F.try_element_at(F.split("payload", TITLE, 2), F.lit(2)), TITLE_END, 2)
+    title = F.when(F.size(inside) == 2, F.trim(F.regexp_replace(decoded(F.regexp_replace(inside[0], TAG, "")), r"[ \t\r\n\f]+", " "))).otherwise("")
+    hrefs = F.filter(F.transform(F.regexp_extract_all("payload", F.lit(ANCHOR), F.lit(0)), lambda a: F.regexp_extract(a, HREF, 1)), lambda x: x != "")
+    links = F.transform(hrefs, lambda x: decoded(F.when(x.rlike("^[\"']"), F.substr(x, F.lit(2), F.char_length(x) - 2)).otherwise(x)))
     wide = source.withColumn("_w_text", text).withColumn("_w_title", title).withColumn("_w_links", links)
     fields = F.concat(
         F.lit("title: "), F.col("_w_title"),
@@ -172,11 +195,19 @@ def warc_query(spark, sf_dir: str) -> DataFrame:
     return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def _sql_decoded(x: str) -> str:
+    quoted = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    m = f"regexp_extract(x, '{ENTITY}', 1)"
+    number = f"(CASE WHEN lower({m}[2]) = 'x' THEN ('0x' || {m}[3:])::INTEGER ELSE {m}[2:]::INTEGER END)"
+    char = f"(CASE WHEN {number} = 160 THEN ' ' WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}) ELSE chr(65533) END)"
+    known = f"({quoted(NAMES.values())})[list_position({quoted(NAMES)}, {m})]"
+    each = f"CASE WHEN i = 1 THEN x WHEN {m} = '' THEN '&' || x WHEN {m}[1] = '#' THEN {char} || x[length({m}) + 2:] ELSE coalesce({known} || x[length({m}) + 2:], '&' || x) END"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda x, i: {each}), '')"
+
+
 def _sql_text() -> str:
     t = f"regexp_replace(html, '{DROP}', ' ', 'g')"
-    t = f"regexp_replace(regexp_replace({t}, '{BREAK}', chr(10), 'g'), '{TAG}', '', 'g')"
-    for name, char in ENTITIES:
-        t = "replace({}, '{}', '{}')".format(t, name, char.replace("'", "''"))
+    t = _sql_decoded(f"regexp_replace(regexp_replace({t}, '{BREAK}', chr(10), 'g'), '{TAG}', '', 'g')")
     t = f"regexp_replace(regexp_replace({t}, '{BLANKS}', ' ', 'g'), '{LINES}', chr(10), 'g')"
     return rf"regexp_replace({t}, '^[ \n]+|[ \n]+$', '', 'g')"
 
@@ -187,11 +218,12 @@ def _sql_urn(x: str) -> str:
 
 WARC_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-s AS (SELECT page_id, url, html, {_sql_urn("'response|' || coalesce(page_id::VARCHAR, '') || '|' || url")} AS refers_to,
+s AS (SELECT page_id, url, html, {_sql_urn("'response|' || coalesce(page_id::VARCHAR, '') || '|' || url || '|' || sha256(html)")} AS refers_to,
     '{HEAD.split(chr(13))[0]}' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) AS source_headers,
     'sha256:' || sha256(html) AS payload_digest, {_sql_text()} AS text,
-    trim(regexp_replace(regexp_replace(regexp_extract(html, '{TITLE}', 1), '{TAG}', '', 'g'), '[ \t\r\n\f]+', ' ', 'g')) AS title,
-    regexp_extract_all(html, '{LINK.replace(chr(39), chr(39) * 2)}', 1) AS links FROM p),
+    trim(regexp_replace({_sql_decoded("regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '" + TAG + "', '', 'g')")}, '[ \t\r\n\f]+', ' ', 'g')) AS title,
+    list_transform(list_filter(list_transform(regexp_extract_all(html, '{ANCHOR}'), lambda a: regexp_extract(a, '{HREF.replace(chr(39), chr(39) * 2)}', 1)), lambda h: h <> ''),
+        lambda h: {_sql_decoded("(CASE WHEN h[1] IN (chr(34), chr(39)) THEN h[2:-2] ELSE h END)")}) AS links FROM p),
 r AS (SELECT *, 'conversion' AS record_type, 'text/plain' AS content_type, text AS block FROM s
     UNION ALL SELECT *, 'metadata', 'application/warc-fields', 'title: ' || title || chr(13) || chr(10) || 'payload-length: ' || strlen(html) || chr(13) || chr(10) || 'text-length: ' || strlen(text)
     || chr(13) || chr(10) || 'outlinks: ' || len(links) || coalesce(array_to_string(list_transform(links, lambda x: chr(13) || chr(10) || 'outlink: ' || x), ''), '') || chr(13) || chr(10) FROM s)
