@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from cairn.shipping import ship  # noqa: F401
 
 #: The most ranges that rows are dealt to. Beyond, ranges grow instead; a range is sorted on disk and read as a stream.
 MOST_RANGES = 50_000
+#: A table whose rows were counted is broadcast up to here (digests or numbers, under 100 MB) and shuffled beyond.
+BROADCAST_ROWS = 500_000
 
 _folders: list[tuple[SparkSession, str]] = []
 
@@ -64,6 +67,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000):
+    """Within, Python gets texts in Arrow batches of at most ``rows`` rows (Spark's own limit is ten times that), which bounds the buffers on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 

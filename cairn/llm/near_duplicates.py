@@ -21,8 +21,9 @@ the rest must hold what they share. So nodes of different classes that share a s
 compared, and no others need to be. No link is lost to a cap.
 
 Defined results: a null text counts as empty; texts without words are alike only if equal; repeated rows belong to
-one class; a class's id is its smallest document id; an empty table gives an empty result; other
-columns are ignored by ``classes`` and passed through by ``distinct_documents``.
+one class; a class's id is its smallest document id (null if it has none); an empty table gives an empty result; other
+columns are ignored by ``classes`` and passed through by ``distinct_documents``, which keeps exactly one row of each class
+whatever the ids are.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import components, new_folder, ship, staged, text_or_empty
+from cairn.llm.common import BROADCAST_ROWS, components, new_folder, ship, short_batches, staged, text_or_empty
 
 WORDS, LEAST, BANDS, ROWS, CELLS, STEPS, DRAWS = 5, 0.8, 16, 4, 18, 256, 14
-ROUNDS, BROADCAST_ROWS, HOT, CHUNK = 2, 1_000_000, 1024, 1 << 19
+ROUNDS, HOT, CHUNK = 2, 256, 1 << 19
+#: The most nodes that count as hot: a longer list raises what a node needs to be one.
+HOT_NODES = 100_000
 WORD = re.compile(r"\w+")
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: A weight step's weight, as a whole number.
@@ -51,11 +54,13 @@ def draws() -> np.ndarray:
     rng = np.random.default_rng(77)
     n = 1 << DRAWS
     r, log_c, beta = rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)
-    log_w = (np.arange(STEPS) / 16)[:, None]
-    t = np.floor(log_w / r + beta)
-    log_a = log_c - r * (t - beta + 1)
-    value = np.clip((log_a + 60) / 65 * (1 << 24), 0, (1 << 24) - 1).astype(np.uint32)
-    return (value << np.uint32(8) | (t.astype(np.int64) & 0xFF).astype(np.uint32)).ravel()
+    out = np.empty((STEPS, n), np.uint32)
+    for step in range(STEPS):
+        t = np.floor(step / 16 / r + beta)
+        log_a = log_c - r * (t - beta + 1)
+        value = np.clip((log_a + 60) / 65 * (1 << 24), 0, (1 << 24) - 1).astype(np.uint32)
+        out[step] = value << np.uint32(8) | (t.astype(np.int64) & 0xFF).astype(np.uint32)
+    return out.ravel()
 
 
 @functools.cache
@@ -67,7 +72,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         b = word.encode()
         h = zlib.crc32(b) << 32 | zlib.crc32(b, 0x5BD1E995)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -207,7 +212,7 @@ def signatures(rows: DataFrame, sent) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, sent) -> DataFrame:
-    """node, hashes (32-bit, ascending), steps for each row of ``rows(node, text)``."""
+    """node, hashes (64-bit, ascending), steps for each row of ``rows(node, text)``."""
 
     def run(batches):
         import pyarrow as pa
@@ -217,7 +222,7 @@ def shingle_sets(rows: DataFrame, sent) -> DataFrame:
             for part in chunks(batch, 1):
                 owner, h, counts = shingles([t.as_py() for t in part.column(1)])
                 steps = weight_steps(h, counts, idf).astype(np.uint8)
-                h = (h >> np.uint64(32)).astype("<u4")
+                h = h.astype("<u8")
                 ends = np.searchsorted(owner, np.arange(part.num_rows), "right")
                 begins = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in zip(begins, ends)]), pa.array([steps[a:b].tobytes() for a, b in zip(begins, ends)])], ["node", "hashes", "steps"])
@@ -232,13 +237,29 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return float(low / (wa.sum() + wb.sum() - low))
 
 
+def with_sets(pairs: DataFrame, key: str, counts: DataFrame, sets: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """``pairs`` with the shingles and steps of the node in column ``key``, named as ``names``.
+
+    ``counts(node, n)`` says in how many pairs a node is. One in more than HOT (or in more than a HOT_NODES-th
+    of all) has its pairs dealt out by salts, and its set to each of them; there are at most HOT_NODES such nodes.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = max(HOT, total // HOT_NODES)
+    many = staged(counts.where(F.col("n") > hot).select(F.col("node").alias("_hot"), F.ceil(F.col("n") / hot).cast("int").alias("_salts")), "hot-nodes")
+    own = sets.select(F.col("node").alias("_own"), F.col("hashes").alias(names[0]), F.col("steps").alias(names[1]))
+    if many.isEmpty():
+        return pairs.join(own, F.col(key) == F.col("_own")).drop("_own")
+    many = F.broadcast(many)  # at most HOT_NODES rows
+    cold = pairs.join(many, F.col(key) == F.col("_hot"), "left_anti").join(own, F.col(key) == F.col("_own")).drop("_own")
+    salted = pairs.join(many, F.col(key) == F.col("_hot")).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_salts")).cast("int")).drop("_hot", "_salts")
+    own = own.join(many, F.col("_own") == F.col("_hot")).withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_hot", "_salts")
+    return cold.unionByName(salted.join(own, (F.col(key) == F.col("_own")) & (F.col("_salt") == F.col("_salt2"))).drop("_own", "_salt", "_salt2"))
+
+
 def judge(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``pairs(a, b)`` that have a weighted Jaccard similarity of ``least`` or more, as ``a, b``. A node b in many pairs is dealt out."""
-    many = pairs.groupBy("b").agg((F.count(F.lit(1)) / HOT).cast("int").alias("salts"))
-    salted = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1).cast("int"))
-    right = many.join(sets, F.col("b") == F.col("node")).select(F.col("b").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt2"), F.col("hashes").alias("hb"), F.col("steps").alias("sb"))
-    left = salted.join(sets, F.col("a") == F.col("node")).select("a", "b", "salt", F.col("hashes").alias("ha"), F.col("steps").alias("sa"))
-    both = left.join(right, (F.col("b") == F.col("b2")) & (F.col("salt") == F.col("salt2"))).select("a", "b", "ha", "sa", "hb", "sb")
+    """``pairs(a, b)`` that have a weighted Jaccard similarity of ``least`` or more, as ``a, b``. A node in many pairs is dealt out."""
+    counts = [pairs.groupBy(F.col(k).alias("node")).agg(F.count(F.lit(1)).alias("n")) for k in "ab"]
+    both = with_sets(with_sets(pairs, "a", counts[0], sets, ("ha", "sa")), "b", counts[1], sets, ("hb", "sb")).select("a", "b", "ha", "sa", "hb", "sb")
 
     def run(batches):
         import pyarrow as pa
@@ -246,7 +267,7 @@ def judge(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             near = []
             for ha, sa, hb, sb in zip(*(batch.column(k) for k in range(2, 6))):
-                a, b = np.frombuffer(ha.as_buffer(), "<u4"), np.frombuffer(hb.as_buffer(), "<u4")
+                a, b = np.frombuffer(ha.as_buffer(), "<u8"), np.frombuffer(hb.as_buffer(), "<u8")
                 near.append(weighted_jaccard(a, WEIGHT[np.frombuffer(sa.as_buffer(), np.uint8)], b, WEIGHT[np.frombuffer(sb.as_buffer(), np.uint8)]) >= least)
             kept = batch.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
@@ -264,21 +285,21 @@ def rare_shingles(sets: DataFrame, sent, least: float) -> DataFrame:
         for batch in batches:
             nodes, out, before = [], [], []
             for node, hashes, steps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                h, w = np.frombuffer(hashes.as_buffer(), "<u4"), WEIGHT[np.frombuffer(steps.as_buffer(), np.uint8)]
-                order = np.lexsort((h, df[h >> np.uint32(32 - CELLS)]))
+                h, w = np.frombuffer(hashes.as_buffer(), "<u8"), WEIGHT[np.frombuffer(steps.as_buffer(), np.uint8)]
+                order = np.lexsort((h, df[cell(h)]))
                 past = np.cumsum(w[order]) - w[order]
                 n = int(np.searchsorted(past, (1 - least) * w.sum(), "right"))
                 nodes += [node] * n
                 out.append(h[order[:n]])
                 before.append(past[:n])
             none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(np.concatenate([*out, none]).astype(np.int64)), pa.array(np.concatenate([*before, none]))], ["node", "shingle", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(np.concatenate([*out, none.view(np.uint64)]).view(np.int64)), pa.array(np.concatenate([*before, none]))], ["node", "shingle", "before"])
 
     return sets.select("node", "hashes", "steps").mapInArrow(run, "node string, shingle long, before long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, idf: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id, class_size (rows) for each row of ``docs``."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, least: float, idf: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) for each row, and a row (node, low, n, root) for each distinct text: its smallest id, how many rows have it, and its class's root."""
     spark = docs.sparkSession
     ship(spark)
     text = text_or_empty(F.col(text_col))
@@ -302,57 +323,82 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         made = shingle_sets(first, sent).dropDuplicates(["node"]).repartition(parts, "node")
         made.write.bucketBy(parts, "node").sortBy("node").option("path", at).option("compression", "zstd").saveAsTable(name)
         sets = spark.table(name)  # joins on node don't shuffle it again
-        tried = None
-        for turn in range(rounds + 1):
-            if members.isEmpty():
-                break
-            if turn < rounds:
-                lead = F.struct(~F.col("used"), F.col("links"), F.md5(F.concat_ws(":", F.col("node"), F.col("band"))), F.col("node"), F.col("root"), F.col("weight"))
-                firsts = members.groupBy("band").agg(F.max(lead).alias("l")).select("band", F.col("l.node").alias("b"), F.col("l.root").alias("rb"), F.col("l.weight").alias("wb"))
-                firsts = staged(firsts, "firsts")
-                pairs = members.join(firsts, "band").where("root <> rb").select(F.col("node").alias("a"), "b", F.col("weight").alias("wa"), "wb")
-            else:  # exactly, for what the rounds have left undecided
-                nodes = members.select("node", "weight", "root").distinct()
-                rare = rare_shingles(sets.join(nodes.select("node"), "node", "left_semi"), sent, least)
-                rare = staged(rare.join(nodes, "node"), "rare")
-                other = rare.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("before").alias("bb"))
-                shared = (F.col("weight") + F.col("wb")) * (least / (1 + least))
-                early = (F.col("before") <= F.col("weight") - shared) & (F.col("bb") <= F.col("wb") - shared)
-                here = (rare["shingle"] == other["shingle"]) & (F.col("root") != F.col("rb")) & (F.col("node") < F.col("b")) & early
-                pairs = rare.join(other, here).select(F.col("node").alias("a"), "b", F.col("weight").alias("wa"), "wb")
-            pairs = pairs.where((F.col("wa") >= least * F.col("wb")) & (F.col("wb") >= least * F.col("wa"))).select("a", "b").distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = staged(pairs, "pairs")
-            found = staged(judge(pairs, sets, least), "links")
-            tried = pairs if tried is None else tried.union(pairs)
-            links = links.union(found)
-            if not found.isEmpty():
-                roots = components(links)
-            if turn == rounds:
-                break
-            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("links"))
-            now = members.drop("root", "links").join(roots, "node", "left").join(degree, "node", "left").join(firsts.select("band", F.col("b").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
-            now = now.select("band", "node", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
-            now = staged(now, "buckets")
-            split = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("used")).alias("free")).where("lo <> hi and free > 0").select("band")
-            members = staged(now.join(split, "band", "left_semi"), "buckets")
-        spark.sql(f"DROP TABLE {name}")  # the files stay until the session ends
+        try:
+            tried = None
+            for turn in range(rounds + 1):
+                if members.isEmpty():
+                    break
+                if turn < rounds:
+                    lead = F.struct(~F.col("used"), F.col("links"), F.md5(F.concat_ws(":", F.col("node"), F.col("band"))), F.col("node"), F.col("root"), F.col("weight"))
+                    firsts = members.groupBy("band").agg(F.max(lead).alias("l")).select("band", F.col("l.node").alias("b"), F.col("l.root").alias("rb"), F.col("l.weight").alias("wb"))
+                    firsts = staged(firsts, "firsts")
+                    pairs = members.join(firsts, "band").where("root <> rb").select(F.col("node").alias("a"), "b", F.col("weight").alias("wa"), "wb")
+                else:  # exactly, for what the rounds have left undecided
+                    nodes = members.select("node", "weight", "root").distinct()
+                    rare = rare_shingles(sets.join(nodes.select("node"), "node", "left_semi"), sent, least)
+                    rare = staged(rare.join(nodes, "node"), "rare")
+                    other = rare.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("before").alias("bb"))
+                    shared = (F.col("weight") + F.col("wb")) * (least / (1 + least))
+                    early = (F.col("before") <= F.col("weight") - shared) & (F.col("bb") <= F.col("wb") - shared)
+                    here = (rare["shingle"] == other["shingle"]) & (F.col("root") != F.col("rb")) & (F.col("node") < F.col("b")) & early
+                    pairs = rare.join(other, here).select(F.col("node").alias("a"), "b", F.col("weight").alias("wa"), "wb")
+                pairs = pairs.where((F.col("wa") >= least * F.col("wb")) & (F.col("wb") >= least * F.col("wa"))).select("a", "b").distinct()
+                if tried is not None:
+                    pairs = pairs.join(tried, ["a", "b"], "left_anti")
+                pairs = staged(pairs, "pairs")
+                found = staged(judge(pairs, sets, least), "links")
+                tried = pairs if tried is None else tried.union(pairs)
+                links = links.union(found)
+                if not found.isEmpty():
+                    roots = components(links)
+                if turn == rounds:
+                    break
+                degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("links"))
+                now = members.drop("root", "links").join(roots, "node", "left").join(degree, "node", "left").join(firsts.select("band", F.col("b").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left")
+                now = now.select("band", "node", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+                now = staged(now, "buckets")
+                split = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("used")).alias("free")).where("lo <> hi and free > 0").select("band")
+                members = staged(now.join(split, "band", "left_semi"), "buckets")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay until the session ends
 
     own = rows.select("doc_id", "node")
     info = own.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     info = info.join(roots, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root"))
-    info = staged(info, "nodes")
+    return own, staged(info, "nodes")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, idf: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, class_id, class_size (rows) for each row of ``docs``."""
+    with short_batches(docs.sparkSession):
+        own, info = grouped(docs, id_col, text_col, least, idf, rounds)
     whole = info.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = info.join(whole, "root").select("node", "class_id", "class_size")
     return own.join(by_node, "node").select("doc_id", "class_id", "class_size")
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose id isn't their class's id."""
-    gone = staged(classes(docs, id_col, text_col, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_nd_id")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, F.col(id_col).cast("long") == F.col("_nd_id"), "left_anti")
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, idf: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    """Exactly one row of ``docs`` for each class: that with the smallest id (null ids last), then text digest; of repeated rows any."""
+    with short_batches(docs.sparkSession):
+        own, info = grouped(docs, id_col, text_col, least, idf, rounds)
+    first = F.min(F.struct(F.col("low").isNull(), F.col("low").alias("low"), F.col("node").alias("node")))
+    keepers = info.groupBy("root").agg(first.alias("k")).select(F.col("k.node").alias("kept"), "k.low")
+    rows = own.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(keepers, (F.col("node") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("low")), "left")
+    rows = rows.select(F.col("doc_id").alias("_nd_id"), F.col("node").alias("_nd_node"), F.col("kept").isNotNull().alias("stays"), "n")
+    rows = staged(rows.where("n > 1 or not stays"), "verdicts")
+
+    def side(which: DataFrame) -> DataFrame:
+        which = which.select("_nd_id", "_nd_node")
+        return F.broadcast(which) if which.count() <= BROADCAST_ROWS else which
+
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("_nd_id")) & (F.md5(text_or_empty(F.col(text_col))) == F.col("_nd_node"))
+    left = docs.join(side(rows.where("not stays")), here, "left_anti")
+    if (repeated := rows.where("stays")).isEmpty():
+        return left
+    repeated = side(repeated)
+    one = left.join(repeated, here, "left_semi").withColumns({"_nd_i": F.col(id_col).cast("long"), "_nd_n": F.md5(text_or_empty(F.col(text_col)))})
+    return left.join(repeated, here, "left_anti").unionByName(one.dropDuplicates(["_nd_i", "_nd_n"]).drop("_nd_i", "_nd_n"))
 
 
 def near_duplicates_query(spark, sf_dir: str) -> DataFrame:

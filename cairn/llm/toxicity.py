@@ -3,19 +3,21 @@
 Labels mark documents only, so tokens are labelled first: in toxic documents, those with a word or a word
 beginning that's found in toxic documents far more often than in clean ones. The field has two tags. A
 token's emission sums weights of hashed features (the word, its first 3 to 6 and last 3 and 4 letters);
-transitions link neighbours. It's trained by AdaGrad on windows around labelled tokens and on windows
-of clean documents. Forward-backward then gives every token's probability of being toxic; a document's
+transitions link neighbours. It's trained by AdaGrad on windows around labelled tokens and on four windows
+of each clean document. A text with more than ``windows`` (8) labelled tokens gives so many windows, spread evenly over it. Forward-backward then gives every token's probability of being toxic; a document's
 score is a logistic function of its largest marginal and of how many are 0.5 or more, fitted on the same sample.
 Spans are runs of tokens with 0.5 or more, as offsets in code points, ends exclusive.
 
 The model is fitted on a bounded sample of distinct labelled texts: about ``sample`` (2,000) for each label, chosen by
 a hash of the text; rows whose crc32(id as text) mod 5 is 0 are held out. Features are hashed to 2^18 weights.
-Scoring reads whole texts; chains are cut every 128 tokens from a document's start.
+Scoring reads whole texts, in chains of 128 tokens that also see up to 16 tokens on either side.
 
 Defined results: a null or empty text has score 0 (label 0), or the share of toxic rows if no text could be
 learnt from; without labels of both kinds the score is that share; repeated rows are each scored; a row
 or text labelled more than once is learnt by its highest label; an empty table gives an empty result; other
-columns pass through ``score_documents`` unless named like a result column.
+columns pass through ``score_documents`` unless named like a result column. Texts go to Python once and don't come
+back unless they are among the columns to carry: ``clean_documents`` gets digests of toxic texts and
+filters the rows by them.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import id_mod, ship, spread, staged
+from cairn.llm.common import BROADCAST_ROWS, id_mod, ship, short_batches, spread, staged, text_or_empty
 
-BITS, CHAIN, WINDOW, STORED, TOKENS = 18, 128, 12, 500_000, 1 << 20
+BITS, CHAIN, MARGIN, WINDOW, STORED, CHUNK = 18, 128, 16, 12, 200_000, 2 << 20
 WORD = re.compile(r"\w+")
 RESULT = ("held_out", "score", "predicted", "toxic_spans")
 
@@ -67,16 +69,20 @@ def marginals(emission: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def document_marginals(emissions: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
-    """Marginals of each document's tokens; chains of one length run together, so padding never enters a message."""
+    """Marginals of each document's tokens, in chains that see ``MARGIN`` tokens on either side; chains of one length run together, so padding never enters a message."""
     out = [np.empty(len(e)) for e in emissions]
-    chains: dict[int, list[tuple[int, int]]] = {}
+    chains: dict[int, list[tuple[int, int, int]]] = {}
     for i, e in enumerate(emissions):
         for at in range(0, len(e), CHAIN):
-            chains.setdefault(min(CHAIN, len(e) - at), []).append((i, at))
+            first, last = max(0, at - MARGIN), min(len(e), at + CHAIN + MARGIN)
+            chains.setdefault(last - first, []).append((i, at, first))
     for n, where in chains.items():
-        p = marginals(np.stack([emissions[i][at : at + n] for i, at in where]), trans)
-        for (i, at), row in zip(where, p):
-            out[i][at : at + n] = row
+        for k in range(0, len(where), 4096):
+            part = where[k : k + 4096]
+            p = marginals(np.stack([emissions[i][first : first + n] for i, _, first in part]), trans)
+            for (i, at, first), row in zip(part, p):
+                own = out[i][at : at + CHAIN]
+                own[:] = row[at - first : at - first + len(own)]
     return out
 
 
@@ -194,8 +200,8 @@ def spans_of(text: str, p: np.ndarray) -> str:
     return ",".join(f"{a}:{b}" for a, b in out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000, odds: float = 40.0) -> Field:
-    """Learn from the labelled rows that aren't held out. ``odds``: how many times likelier in toxic documents a word or beginning must be."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000, odds: float = 40.0, windows: int = 8) -> Field:
+    """Learn from the labelled rows that aren't held out. ``odds``: how many times likelier in toxic documents a word or beginning must be; ``windows``: the most that a text gives."""
     spark = docs.sparkSession
     ship(spark)
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_tx_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -231,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seeds = stats.where((F.col("a") >= max(3, n1 // 50)) & (F.col("a") * n0 >= odds * (F.col("b") + 0.5) * n1)).select("f").collect()
     sent = spark.sparkContext.broadcast({r[0] for r in seeds})  # each is in a fiftieth of the sampled toxic documents
 
-    def windows(batches):
+    def examples(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -240,15 +246,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 words = [w.lower() for w in WORD.findall(text.as_py())]
                 if y:
                     tags = [int(f"w{w}" in sent.value or any(f"p{w[:k]}" in sent.value for k in (4, 5, 6) if len(w) >= k)) for w in words]
-                    at = [k for k, t in enumerate(tags) if t][:4]
+                    at = [k for k, t in enumerate(tags) if t]
                 else:
-                    tags, at = [0] * len(words), [len(words) * k // 4 for k in range(4)] if words else []
-                for k in at:
+                    tags, at = [0] * len(words), range(len(words))
+                n = min(len(at), windows if y else 4)
+                for k in (at[len(at) * j // n] for j in range(n)):
                     words_out.append(words[max(0, k - WINDOW) : k + WINDOW])
                     tags_out.append(tags[max(0, k - WINDOW) : k + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(words_out, pa.list_(pa.string())), pa.array(tags_out, pa.list_(pa.int32()))], ["words", "tags"])
 
-    learnt = sorted((r[0], r[1]) for r in rows.mapInArrow(windows, "words array<string>, tags array<int>").collect())  # four short windows a document
+    learnt = sorted((r[0], r[1]) for r in rows.mapInArrow(examples, "words array<string>, tags array<int>").collect())  # a few short windows of each sampled text
     weights, trans = train_field(learnt)
     prior = n[1] / (n[0] + n[1])
     field = Field(weights, trans, np.zeros(3), prior)
@@ -266,50 +273,72 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return field
 
 
-def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``held_out``, ``score``, ``predicted`` and ``toxic_spans``."""
+def _chunks(batch, column: int):
+    """Slices of an Arrow batch with bounded text."""
+    start, size = 0, 0
+    for k, t in enumerate(batch.column(column)):
+        size += len(t.as_buffer() or b"") if t.is_valid else 0
+        if size >= CHUNK:
+            yield batch.slice(start, k + 1 - start)
+            start, size = k + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``held_out``, ``score``, ``predicted`` and ``toxic_spans``; ``columns``: those of ``docs`` to carry (all)."""
     ship(docs.sparkSession)
     docs = docs.drop(*RESULT)
-    schema = docs.schema
+    names = docs.columns if columns is None else columns
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         model = sent.value
+        for batch in batches:
+            for part in _chunks(batch, 0):
+                texts = [t.as_py() or "" for t in part.column(0)]
+                p = model.tag(texts)
+                s = model.score(p)
+                spans = [spans_of(t, q) if q.max(initial=0.0) >= 0.5 else "" for t, q in zip(texts, p)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], [*part.schema.names[1:], "score", "predicted", "toxic_spans"])
 
-        def part(batch):
-            texts = [t.as_py() or "" for t in batch.column(at)]
-            words = [WORD.findall(t) for t in texts]
-            emitted = [model.emissions(w) for w in words]
-            p = document_marginals(emitted, model.trans)
-            s = model.score(p)
-            spans = [spans_of(t, q) if q.max(initial=0.0) >= 0.5 else "" for t, q in zip(texts, p)]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], [*batch.schema.names, "score", "predicted", "toxic_spans"])
+    from pyspark.sql import types as T
 
-        for batch in batches:
-            start, size = 0, 0
-            for k, t in enumerate(batch.column(at)):
-                size += len(t.as_buffer() or b"") if t.is_valid else 0
-                if size >= 4 * TOKENS:
-                    yield part(batch.slice(start, k + 1 - start))
-                    start, size = k + 1, 0
-            if start < batch.num_rows:
-                yield part(batch.slice(start))
+    rows = docs.select(F.col(text_col).cast("string").alias("_tx_text"), *names, (id_mod(F.col(id_col), 5) == 0).alias("_tx_held"))
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.StringType())]
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *added]))
+    return out.select(*names, F.col("_tx_held").alias("held_out"), "score", "predicted", "toxic_spans")
 
-    out = docs.withColumn("_tx_held", id_mod(F.col(id_col), 5) == 0)
-    kept = out.mapInArrow(run, type(schema)([*out.schema.fields, *_fields()]))
-    return kept.select(*docs.columns, F.col("_tx_held").alias("held_out"), "score", "predicted", "toxic_spans")
 
+def clean_documents(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5.
 
-def _fields():
-    from pyspark.sql import types as T
+    A score depends on the text alone, so Python gets texts and gives back the digests of toxic ones;
+    these are few beside the texts, and the rows are filtered where they are read.
+    """
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = sent.value
+        for batch in batches:
+            for part in _chunks(batch, 0):
+                toxic = model.score(model.tag([t.as_py() for t in part.column(0)])) >= 0.5
+                yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(toxic))], ["_tx_gone"])
 
-    return [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.StringType())]
+    text = text_or_empty(F.col(text_col))
+    gone = docs.select(text.alias("text"), F.sha2(text, 256).alias("digest")).mapInArrow(run, "_tx_gone string")
+    with short_batches(docs.sparkSession):
+        gone = staged(gone.distinct(), "toxic-texts")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, F.sha2(text, 256) == F.col("_tx_gone"), "left_anti")
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     field = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs.select("doc_id", "text"), field).select("doc_id", *RESULT)
+    return score_documents(docs, field, columns=["doc_id"]).select("doc_id", *RESULT)
