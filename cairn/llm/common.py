@@ -83,6 +83,11 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas compute what they take from outside at each step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def id_mod(col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import staged, text_or_empty
+from cairn.llm.common import bound, staged, text_or_empty
 
 # The base kinds, in order, with their patterns and least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,11 +45,6 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 BLOCK = 256
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once: lambdas compute what they take from outside at each step."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _spans(text: Column, pattern: str, number: int, keep=None) -> Column:
     """The matches of ``pattern`` that ``keep`` accepts, as structs (start, number of the kind, end).
 
@@ -75,8 +70,8 @@ def _spans(text: Column, pattern: str, number: int, keep=None) -> Column:
         offs = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"])).alias("offs")), lambda acc: acc["offs"])
         return F.flatten(F.zip_with(blocks, offs, lambda b, o: F.transform(b["found"], lambda s: span(s["start"] + o, s["end"] + o))))
 
-    blocks = _bound(zipped, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda k: block(k, z)))
-    return F.when(text.rlike(pattern), _bound(blocks, shifted)).otherwise(none)
+    blocks = bound(zipped, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda k: block(k, z)))
+    return F.when(text.rlike(pattern), bound(blocks, shifted)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:

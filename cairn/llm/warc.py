@@ -22,7 +22,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ship, text_or_empty
+from cairn.llm.common import bound, ship, text_or_empty
 
 # The patterns that turn HTML into text, in the order of their use. What's left open goes on to the
 # end of the page, as in browsers; so every opening matches and nothing is searched twice.
@@ -52,15 +52,17 @@ def decoded(text: Column) -> Column:
     names = F.split(F.lit(",".join(NAMES)), ",")
     chars = F.split(F.lit(",".join(NAMES.values())), ",")
 
-    def one(x: Column, i: Column) -> Column:
-        m = F.regexp_extract(x, ENTITY, 1)
+    def known(m: Column, x: Column) -> Column:
         number = F.when(F.lower(F.substring(m, 2, 1)) == "x", F.conv(F.substring(m, 3, 6), 16, 10)).otherwise(F.substring(m, 2, 7)).cast("int")
         usable = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
         number = F.when(number == 160, 32).when(usable, number).otherwise(0xFFFD)
         char = F.when(m.startswith("#"), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.try_element_at(chars, F.nullif(F.array_position(names, m), F.lit(0)).cast("int")))
-        return F.when(i == 0, x).when(m == "", F.concat(F.lit("&"), x)).otherwise(F.coalesce(F.concat(char, F.substr(x, F.char_length(m) + 2)), F.concat(F.lit("&"), x)))
+        return F.coalesce(F.concat(char, F.substr(x, F.char_length(m) + 2)), F.concat(F.lit("&"), x))
+
+    def one(x: Column, i: Column) -> Column:
+        return F.when(i == 0, x).otherwise(bound(F.regexp_extract(x, ENTITY, 1), lambda m: F.when(m == "", F.concat(F.lit("&"), x)).otherwise(known(m, x))))
 
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+    return bound(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), one), "")).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
