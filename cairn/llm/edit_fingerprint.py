@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import BROADCAST_ROWS, bucket_of, components, id_buckets, ship, staged, text_or_empty
 
 SLOTS, PERIOD, CLASSES, LANES, CHARS, SERIAL = 128, 4096, 256, 2048, 6 << 20, 24
+#: Rounds of comparisons in a band's buckets.
+ROUNDS = 3
 #: The chance that two unrelated texts show equal digits in a slot.
 CHANCE = 0.08
 _SEED = 20240611
@@ -224,16 +226,16 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "fa", "fb").mapInArrow(run, "a string, b string")
 
 
-def similar(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame:
+def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, rounds: int | None = ROUNDS) -> DataFrame:
     """``prints`` (a table with doc_id and fingerprint) with ``class_id``: the smallest id among texts joined by links of ``least`` likeness or more.
 
     Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are candidates. A band's
-    bucket never lists its pairs at once: in each round some of its nodes, drawn by a hash, are compared with those of
-    other classes; links join classes, and a bucket of one class is done. The first round draws about one node and each
-    further one four times as many, so the rounds are as many as the logarithm of the largest bucket that still holds several
-    classes, and in the last of them all its nodes are drawn: among texts that share a band no link is lost. A pair at a
-    likeness of exactly 0.8 (81.6 % equal slots) shares one of 16 bands of 8 with probability
-    1 - (1 - 0.816^8)^16 = 0.97, counting slots as independent; likelier pairs more often.
+    bucket never lists its pairs at once: in each round one of its nodes, drawn by a hash (another in each band), is compared
+    with those of other classes; links join classes, and a bucket of one class is done. After ``rounds`` rounds, pairs
+    that were compared neither directly nor by way of others stay unlinked. ``rounds=None`` is the exact way: each round draws four
+    times as many nodes as the one before until all have been, so among texts that share a band no link is lost, and a
+    large bucket of unlike texts is compared pair by pair. A pair at a likeness of exactly 0.8 (81.6 % equal slots) shares
+    one of 16 bands of 8 with probability 1 - (1 - 0.816^8)^16 = 0.97, counting slots as independent.
     """
     ship(prints.sparkSession)
     spark, step = prints.sparkSession, SLOTS // bands
@@ -241,15 +243,17 @@ def similar(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame
     nodes = prints.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("fingerprint", k * step + 1, step)) for k in range(bands)))
     keyed = prints.select(node.alias("node"), F.col("fingerprint").alias("f"), F.explode(keys).alias("band"))
-    shared = staged(keyed.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band"), "bands")
+    number = F.xxhash64("fingerprint")
+    shared = prints.select(number.alias("x"), F.explode(keys).alias("band")).groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    shared = staged(shared.where("lo <> hi").select("band"), "bands")
     rest = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band").distinct()
     rest = staged(rest.select("band", "node", "f", F.col("node").alias("root"), F.lit(False).alias("used")), "buckets")
     roots = spark.createDataFrame([], "node string, root string")
     links, turn = None, 0
-    while not rest.isEmpty():
+    while not rest.isEmpty() and turn != rounds:
         order = F.xxhash64("node", "band", F.lit(turn))
         sizes = rest.where("not used").groupBy("band").agg(F.count(F.lit(1)).alias("free"), F.min(order).alias("first"))
-        drawn = rest.where("not used").join(sizes, "band").where((order == F.col("first")) | (F.pmod(F.shiftright(order, 8), F.col("free")) < 4**turn))
+        drawn = rest.where("not used").join(sizes, "band").where((order == F.col("first")) | (F.pmod(F.shiftright(order, 8), F.col("free")) < (4**turn if rounds is None else 0)))
         drawn = staged(drawn.select("band", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("root").alias("rb")), "drawn")
         pairs = rest.join(drawn, "band").where("root <> rb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("f")).otherwise(F.col("fb")).alias("fa"), F.when(F.col("node") < F.col("b"), F.col("fb")).otherwise(F.col("f")).alias("fb"))
         found = staged(alike(pairs.distinct(), least), "links")
@@ -271,9 +275,9 @@ def similar(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame
     return prints.join(side, node == F.col("_ef_n"), "left").select(*prints.columns, classed)
 
 
-def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, rounds: int | None = ROUNDS) -> DataFrame:
     """``fingerprint_neighbours`` with ``class_id``, by ``similar``."""
-    return similar(staged(fingerprint_neighbours(docs, id_col, text_col), "fingerprints"), least)
+    return similar(staged(fingerprint_neighbours(docs, id_col, text_col), "fingerprints"), least, rounds=rounds)
 
 
 def edit_fingerprint_query(spark, sf_dir: str) -> DataFrame:

@@ -253,7 +253,8 @@ def with_sets(pairs: DataFrame, key: str, counts: DataFrame, sets: DataFrame, na
     cold = pairs.join(many, F.col(key) == F.col("_hot"), "left_anti").join(own, F.col(key) == F.col("_own")).drop("_own")
     salted = pairs.join(many, F.col(key) == F.col("_hot")).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_salts")).cast("int")).drop("_hot", "_salts")
     own = own.join(many, F.col("_own") == F.col("_hot")).withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_hot", "_salts")
-    return cold.unionByName(salted.join(own, (F.col(key) == F.col("_own")) & (F.col("_salt") == F.col("_salt2"))).drop("_own", "_salt", "_salt2"))
+    # by merge: a broadcast, chosen at run time, would read the salted rows as they were written, file by file
+    return cold.unionByName(salted.join(own.hint("merge"), (F.col(key) == F.col("_own")) & (F.col("_salt") == F.col("_salt2"))).drop("_own", "_salt", "_salt2"))
 
 
 def judge(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
