@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import BROADCAST_ROWS, bucket_of, components, id_buckets, ship, staged, text_or_empty
 
 SLOTS, PERIOD, CLASSES, LANES, CHARS, SERIAL = 128, 4096, 256, 2048, 6 << 20, 24
-#: Rounds of comparisons in a band's buckets.
-ROUNDS = 3
+#: About so many nodes of a bucket are a block.
+BLOCK = 512
 #: The chance that two unrelated texts show equal digits in a slot.
 CHANCE = 0.08
 _SEED = 20240611
@@ -211,62 +211,115 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The rows of ``pairs(a, b, fa, fb)`` whose fingerprints have a likeness of ``least`` or more, as ``a, b``."""
-    equal = math.ceil((least * (1 - CHANCE) + CHANCE) * SLOTS - 1e-9)
+def unpacked(prints: list[bytes]) -> np.ndarray:
+    """A row of ``SLOTS`` digits for each packed fingerprint."""
+    x = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), SLOTS // 2)
+    return np.concatenate([x >> 4, x & 15], 1)
+
+
+def slots_for(least: float) -> int:
+    """Equal slots that a likeness of ``least`` takes."""
+    return math.ceil((least * (1 - CHANCE) + CHANCE) * SLOTS - 1e-9)
+
+
+def block_links(slots: np.ndarray, own: int, within: bool, equal: int) -> list[tuple[int, int]]:
+    """Links among rows of ``slots`` with ``equal`` equal slots or more: of each of the first ``own`` rows with the rows behind
+    those and, if ``within``, with one another. Of links that join the same rows only enough to join them are given."""
+    label, out = np.arange(len(slots)), []
+    for x in range(own):
+        at = x + 1 if within else own
+        hits = at + np.flatnonzero((slots[at:] == slots[x]).sum(1) >= equal)
+        for y in hits[label[hits] != label[x]]:
+            if label[y] != label[x]:
+                out.append((x, int(y)))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _links_schema():
+    import pyarrow as pa
+
+    return pa.schema([("a", pa.string()), ("b", pa.string())])
+
+
+def beside_leaders(members: DataFrame, equal: int) -> DataFrame:
+    """``members(band, f, leader)`` with ``near``: whether f is the band's leader or linked to it."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fa, fb = (np.frombuffer("".join(batch.column(k).to_pylist()).encode(), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
-            kept = batch.filter(pa.array((fa == fb).sum(1) >= equal))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+            if batch.num_rows:
+                f, leader = (unpacked(batch.column(k).to_pylist()) for k in (1, 2))
+                near = pa.array((f == leader).sum(1) >= equal)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), near], ["band", "f", "leader", "near"])
+
+    return members.select("band", "f", "leader").mapInArrow(run, "band long, f binary, leader binary, near boolean")
+
+
+def links_of_blocks(dealt: DataFrame, equal: int) -> DataFrame:
+    """Links of every pair of blocks in ``dealt(band, i, j, side, f)``, which is sorted by them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def links(key, sides):
+            prints = sides[0] + sides[1]
+            name = lambda k: hashlib.md5(prints[k].hex().encode()).hexdigest()
+            return [(name(x), name(y)) for x, y in block_links(unpacked(prints), len(sides[0]), key[1] == key[2], equal)] if prints else []
+
+        key, sides, out = None, ([], []), []
+        for batch in batches:
+            for band, i, j, side, f in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (band, i, j) != key:
+                    out += links(key, sides)
+                    key, sides = (band, i, j), ([], [])
+                sides[side].append(f)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=_links_schema())
+            out = []
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(key, sides)], schema=_links_schema())
 
-    return pairs.select("a", "b", "fa", "fb").mapInArrow(run, "a string, b string")
+    return dealt.mapInArrow(run, "a string, b string")
 
 
-def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, rounds: int | None = ROUNDS) -> DataFrame:
+def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, block: int = BLOCK) -> DataFrame:
     """``prints`` (a table with doc_id and fingerprint) with ``class_id``: the smallest id among texts joined by links of ``least`` likeness or more.
 
-    Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are candidates. A band's
-    bucket never lists its pairs at once: in each round one of its nodes, drawn by a hash (another in each band), is compared
-    with those of other classes; links join classes, and a bucket of one class is done. After ``rounds`` rounds, pairs
-    that were compared neither directly nor by way of others stay unlinked. ``rounds=None`` is the exact way: each round draws four
-    times as many nodes as the one before until all have been, so among texts that share a band no link is lost, and a
-    large bucket of unlike texts is compared pair by pair. A pair at a likeness of exactly 0.8 (81.6 % equal slots) shares
+    Rows with equal fingerprints are one node. Nodes that agree in a band of sampled slots are candidates, and every two
+    candidates are joined or compared. In a band's bucket all nodes are compared with a leader first; those linked to it
+    are joined to one another thereby. The others are compared among themselves and with those, in pairs of blocks of about
+    ``block`` nodes that are dealt to all tasks; a pair of blocks gives as many links as join its nodes, never all pairs.
+    So no link of texts that share a band is lost. A pair at a likeness of exactly 0.8 (81.6 % equal slots) shares
     one of 16 bands of 8 with probability 1 - (1 - 0.816^8)^16 = 0.97, counting slots as independent.
     """
     ship(prints.sparkSession)
-    spark, step = prints.sparkSession, SLOTS // bands
-    node = F.md5("fingerprint")
-    nodes = prints.groupBy(node.alias("node")).agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
+    step, equal, node = SLOTS // bands, slots_for(least), F.md5("fingerprint")
+    nodes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "nodes")
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("fingerprint", k * step + 1, step)) for k in range(bands)))
-    keyed = prints.select(node.alias("node"), F.col("fingerprint").alias("f"), F.explode(keys).alias("band"))
-    number = F.xxhash64("fingerprint")
-    shared = prints.select(number.alias("x"), F.explode(keys).alias("band")).groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    shared = staged(shared.where("lo <> hi").select("band"), "bands")
-    rest = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band").distinct()
-    rest = staged(rest.select("band", "node", "f", F.col("node").alias("root"), F.lit(False).alias("used")), "buckets")
-    roots = spark.createDataFrame([], "node string, root string")
-    links, turn = None, 0
-    while not rest.isEmpty() and turn != rounds:
-        order = F.xxhash64("node", "band", F.lit(turn))
-        sizes = rest.where("not used").groupBy("band").agg(F.count(F.lit(1)).alias("free"), F.min(order).alias("first"))
-        drawn = rest.where("not used").join(sizes, "band").where((order == F.col("first")) | (F.pmod(F.shiftright(order, 8), F.col("free")) < (4**turn if rounds is None else 0)))
-        drawn = staged(drawn.select("band", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("root").alias("rb")), "drawn")
-        pairs = rest.join(drawn, "band").where("root <> rb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("f")).otherwise(F.col("fb")).alias("fa"), F.when(F.col("node") < F.col("b"), F.col("fb")).otherwise(F.col("f")).alias("fb"))
-        found = staged(alike(pairs.distinct(), least), "links")
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            roots = components(links)
-        rest = rest.drop("root").join(drawn.select("band", F.col("b").alias("node"), F.lit(True).alias("now")), ["band", "node"], "left").join(roots, "node", "left")
-        rest = staged(rest.select("band", "node", "f", F.coalesce("root", "node").alias("root"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")), "buckets")
-        split = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("used")).alias("free")).where("lo <> hi and free > 0").select("band")
-        rest = staged(rest.join(split, "band", "left_semi"), "buckets")
-        turn += 1
+    shared = staged(nodes.select(F.explode(keys).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("band"), "bands")
+    members = nodes.select(F.unhex("fingerprint").alias("f"), F.explode(keys).alias("band"))
+    few = shared.count() <= BROADCAST_ROWS
+    members = staged(members.join(F.broadcast(shared) if few else shared, "band"), "buckets")
+    leaders = members.groupBy("band").agg(F.min_by("f", F.xxhash64("f", "band")).alias("leader"))
+    members = staged(beside_leaders(members.join(F.broadcast(leaders) if few else leaders, "band"), equal), "members")
+    packed = lambda c: F.md5(F.lower(F.hex(c)))
+    links = members.where("near and f <> leader").select(packed("leader").alias("a"), packed("f").alias("b"))
+    # free nodes are those that aren't linked to the leader; their blocks come first, then those of the others
+    sizes = members.groupBy("band").agg(F.count_if(~F.col("near")).alias("free"), F.count_if("near").alias("led")).where("free > 0")
+    sizes = sizes.select("band", F.ceil(F.col("free") / block).alias("bf"), F.ceil(F.col("led") / block).alias("bl"), (F.col("free") + F.col("led") <= block).alias("small"))
+    sized = members.select("band", "f", "near").join(F.broadcast(sizes) if few else sizes, "band")
+    spot = F.pmod(F.xxhash64("f", F.lit(3)), F.when(F.col("near"), F.col("bl")).otherwise(F.col("bf")))
+    sized = sized.withColumn("own", (spot + F.when(F.col("near"), F.col("bf")).otherwise(F.lit(0))).cast("int"))
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    own, zero = F.col("own"), F.lit(0)
+    to_all = F.transform(F.sequence(zero, (F.col("bf") + F.col("bl") - 1).cast("int")), lambda k: place(F.least(k, own), F.greatest(k, own), (k < own).cast("int")))
+    to_free = F.transform(F.sequence(zero, (F.col("bf") - 1).cast("int")), lambda k: place(k, own, F.lit(1)))
+    places = F.when(F.col("small"), F.array(place(zero, zero, F.col("near")))).when(F.col("near"), to_free).otherwise(to_all)
+    dealt = sized.select("band", "f", F.explode(places).alias("at")).select("band", "at.i", "at.j", "at.side", "f")
+    found = links_of_blocks(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "side"), equal)
+    roots = components(staged(links.union(found).distinct(), "links"))
     # only nodes of several rows or of a class with others need to be looked up
-    own = nodes.join(roots, "node", "left").select("node", "least_id", "n", F.col("root"), F.coalesce("root", "node").alias("top"))
+    own = nodes.withColumn("node", node).join(roots, "node", "left").select("node", "least_id", "n", F.col("root"), F.coalesce("root", "node").alias("top"))
     low = own.where("root is not null").groupBy("top").agg(F.min("least_id").alias("low"))
     own = own.join(low, "top", "left").where("n > 1 or root is not null").select(F.col("node").alias("_ef_n"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("low")).alias("_ef_c"))
     own = staged(own, "classes")
@@ -275,9 +328,9 @@ def similar(prints: DataFrame, least: float = 0.8, bands: int = 16, rounds: int
     return prints.join(side, node == F.col("_ef_n"), "left").select(*prints.columns, classed)
 
 
-def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, rounds: int | None = ROUNDS) -> DataFrame:
+def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """``fingerprint_neighbours`` with ``class_id``, by ``similar``."""
-    return similar(staged(fingerprint_neighbours(docs, id_col, text_col), "fingerprints"), least, rounds=rounds)
+    return similar(staged(fingerprint_neighbours(docs, id_col, text_col), "fingerprints"), least)
 
 
 def edit_fingerprint_query(spark, sf_dir: str) -> DataFrame:

@@ -450,7 +450,7 @@ def test_fingerprint_classes_match_all_pairs_and_edits_stand_out(spark):
             texts.append(" ".join(own))
     texts += [None, "", "a", "a"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as fingerprint", "2 as band").repartition(4)
-    got = {r["doc_id"]: r for r in rows(edit_fingerprint.fingerprint_classes(df, rounds=None))}
+    got = {r["doc_id"]: r for r in rows(edit_fingerprint.fingerprint_classes(df))}
     prints, root = [got[k]["fingerprint"] for k in range(len(texts))], list(range(len(texts)))
     for b in range(len(prints)):
         for a in range(b):
@@ -458,9 +458,6 @@ def test_fingerprint_classes_match_all_pairs_and_edits_stand_out(spark):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     assert [got[k]["class_id"] for k in range(len(texts))] == root
-    few = {r["doc_id"]: r["class_id"] for r in rows(edit_fingerprint.fingerprint_classes(df))}
-    linked = [k for k in range(len(texts)) if root[k] != k]
-    assert all(root[few[k]] == root[k] for k in few) and np.mean([few[k] == root[k] for k in linked]) >= 0.9
     long = [r for r in got.values() if r["n_chars"] > 300]
     shuffled = [prose(k, 150) for k in range(40)]
     apart = edit_fingerprint.fingerprints(shuffled)
@@ -469,12 +466,13 @@ def test_fingerprint_classes_match_all_pairs_and_edits_stand_out(spark):
     assert edit_fingerprint.fingerprint_classes(df.limit(0)).count() == 0
 
 
-def test_similar_texts_share_a_class(spark):
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_similar_texts_share_a_class(spark, block):
     base = [prose(k, 300) for k in range(5)]
     texts = [t for b in base for t in (b, b, b[:400] + "xy" + b[400:], b.replace("w1", "w2", 1), b[:-9])] + ["", ""]
     prints = edit_fingerprint.fingerprints(texts)
     df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
-    got = {r["doc_id"]: r["class_id"] for r in rows(edit_fingerprint.similar(df, rounds=None))}
+    got = {r["doc_id"]: r["class_id"] for r in rows(edit_fingerprint.similar(df, block=block))}
     root = list(range(len(prints)))
     banded = lambda a, b: any(a[k : k + 8] == b[k : k + 8] for k in range(0, edit_fingerprint.SLOTS, 8))
     for b in range(len(prints)):
