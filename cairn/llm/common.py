@@ -152,18 +152,27 @@ def bucket_of(col: Column, cuts: list[int]) -> Column:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: a row ``(node, root)`` for each node, the root being its component's smallest node.
 
-    Labels spread over the edges and then jump to their label's label, so a chain of n nodes
-    takes about log2(n) rounds. Every round is a written table; only a count returns to the driver.
+    In each round every node joins the first, in an order drawn anew by a hash, of itself and its neighbours, and the
+    edges are drawn between what is left. The edges shrink by a share of themselves each round, whatever
+    the components' shape. Every round is a written table; only whether edges are left returns to the driver.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        hop = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = labels.select(F.col("node").alias("top"), F.col("root").alias("jump"))
-        now = staged(hop.join(up, F.col("root") == F.col("top"), "left").select("node", "was", F.least("root", F.coalesce("jump", "root")).alias("root")), "labels")
-        changed = now.where("root <> was").limit(1).count()
-        labels = now.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    apart = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    live = staged(edges.where("a <> b").select(*apart("a", "b")).distinct(), "edges")
+    roots = live.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    for turn in range(rounds):
+        if live.isEmpty():
+            low = roots.groupBy("root").agg(F.min("node").alias("low"))
+            return staged(roots.join(low, "root").select("node", F.col("low").alias("root")), "roots")
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
+        both = live.union(live.select("b", "a"))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("near"))
+        step = staged(first.select("node", F.least("near", drawn("node"))["x"].alias("up")), "steps")
+        jump = step.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        step = staged(step.join(jump, "up").select("node", "top"), "steps")
+        of = lambda c: step.select(F.col("node").alias(c), F.col("top").alias(f"top_{c}"))  # noqa: E731, B023
+        live = staged(live.join(of("a"), "a").join(of("b"), "b").where("top_a <> top_b").select(*apart("top_a", "top_b")).distinct(), "edges")
+        if turn:
+            roots = roots.join(of("root"), "root", "left").select("node", F.coalesce("top_root", "root").alias("root"))
+        else:
+            roots = step.select("node", F.col("top").alias("root"))
+    raise RuntimeError(f"edges are left after {rounds} rounds")
