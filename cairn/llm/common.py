@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import math
+import re
 import tempfile
 import uuid
 
@@ -68,15 +70,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession, rows: int = 1000):
-    """Within, Python gets texts in Arrow batches of at most ``rows`` rows (Spark's own limit is ten times that), which bounds the buffers on either side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+    """Within, Python gets rows in Arrow batches of at most ``rows`` rows and about ``size`` bytes (Spark's own limits are ten and eight times that), which bounds the buffers on either side."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {key: spark.conf.get(key) for key in most}
+    for key, n in most.items():
+        old = re.fullmatch(r"(-?\d+)b?", was[key], re.IGNORECASE)
+        spark.conf.set(key, str(min(n, int(old[1])) if old and int(old[1]) > 0 else n))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, old in was.items():
+            spark.conf.set(key, old)
+
+
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system. Workers wait for the next task and would hold it until then."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run``, a function for ``mapInArrow``, with freed memory returned at the task's end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
 
 
 def text_or_empty(col: Column) -> Column:

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, components, new_folder, ship, short_batches, staged, text_or_empty
+from cairn.llm.common import BROADCAST_ROWS, components, new_folder, ship, short_batches, staged, text_or_empty, tidy
 
 WORDS, LEAST, BANDS, ROWS, CELLS, STEPS, DRAWS = 5, 0.8, 16, 4, 18, 256, 14
 ROUNDS, HOT, CHUNK = 2, 256, 1 << 19
@@ -182,7 +182,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(c.as_py()), "<i8")
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()])})
 
-    rows = texts.mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").collect()  # 2^18 numbers
+    rows = texts.mapInArrow(tidy(count), "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").collect()  # 2^18 numbers
     out = np.zeros(1 << CELLS, np.int64)
     for block, cells in rows:
         out[block * width : (block + 1) * width] = np.frombuffer(cells, "<i8")
@@ -208,7 +208,7 @@ def signatures(rows: DataFrame, sent) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[starts])), pa.array(weight), bands], ["node", "weight", "bands"])
 
-    return rows.mapInArrow(run, "node string, weight long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "node string, weight long, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, sent) -> DataFrame:
@@ -227,7 +227,7 @@ def shingle_sets(rows: DataFrame, sent) -> DataFrame:
                 begins = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in zip(begins, ends)]), pa.array([steps[a:b].tobytes() for a, b in zip(begins, ends)])], ["node", "hashes", "steps"])
 
-    return rows.mapInArrow(run, "node string, hashes binary, steps binary")
+    return rows.mapInArrow(tidy(run), "node string, hashes binary, steps binary")
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -273,7 +273,7 @@ def judge(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             kept = batch.filter(pa.array(near, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    return both.mapInArrow(run, "a string, b string")
+    return both.mapInArrow(tidy(run), "a string, b string")
 
 
 def rare_shingles(sets: DataFrame, sent, least: float) -> DataFrame:
@@ -296,7 +296,7 @@ def rare_shingles(sets: DataFrame, sent, least: float) -> DataFrame:
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(np.concatenate([*out, none.view(np.uint64)]).view(np.int64)), pa.array(np.concatenate([*before, none]))], ["node", "shingle", "before"])
 
-    return sets.select("node", "hashes", "steps").mapInArrow(run, "node string, shingle long, before long")
+    return sets.select("node", "hashes", "steps").mapInArrow(tidy(run), "node string, shingle long, before long")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, least: float, idf: float, rounds: int) -> tuple[DataFrame, DataFrame]:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import rank_in_group, ship, staged, text_or_empty
+from cairn.llm.common import rank_in_group, ship, short_batches, staged, text_or_empty, tidy
 from cairn.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(cut), PIECES + ", ids binary" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -139,7 +139,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all ``docs`` with their sequence and offset; token ids too if asked for."""
     path = path or tokenizer_path("byte_bpe_50k.json")
-    return pack(staged(token_pieces(docs, path, capacity=capacity, with_ids=with_ids), "pieces"), capacity)
+    with short_batches(docs.sparkSession):
+        pieces = staged(token_pieces(docs, path, capacity=capacity, with_ids=with_ids), "pieces")
+    return pack(pieces, capacity)
 
 
 def packing_query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, id_mod, ship, short_batches, spread, staged, text_or_empty
+from cairn.llm.common import BROADCAST_ROWS, id_mod, ship, short_batches, spread, staged, text_or_empty, tidy
 
 BITS, CHAIN, MARGIN, WINDOW, STORED, CHUNK = 18, 128, 16, 12, 200_000, 2 << 20
 WORD = re.compile(r"\w+")
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 out.append(list({f for w in words for f in (f"w{w}", *(f"p{w[:k]}" for k in (4, 5, 6) if len(w) >= k))}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["y", "f"])
 
-    stats = rows.mapInArrow(found, "y int, f array<string>").select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    stats = rows.mapInArrow(tidy(found), "y int, f array<string>").select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     drawn = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = drawn.get(1, 0), drawn.get(0, 0)  # distinct texts, as a and b are
     seeds = stats.where((F.col("a") >= max(3, n1 // 50)) & (F.col("a") * n0 >= odds * (F.col("b") + 0.5) * n1)).select("f").collect()
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     tags_out.append(tags[max(0, k - WINDOW) : k + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(words_out, pa.list_(pa.string())), pa.array(tags_out, pa.list_(pa.int32()))], ["words", "tags"])
 
-    learnt = sorted((r[0], r[1]) for r in rows.mapInArrow(examples, "words array<string>, tags array<int>").collect())  # a few short windows of each sampled text
+    learnt = sorted((r[0], r[1]) for r in rows.mapInArrow(tidy(examples), "words array<string>, tags array<int>").collect())  # a few short windows of each sampled text
     weights, trans = train_field(learnt)
     prior = n[1] / (n[0] + n[1])
     field = Field(weights, trans, np.zeros(3), prior)
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = np.array([summary(scored.value.tag([t.as_py()])[0]) for t in batch.column(1)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "a", "b"])
 
-    seen = rows.mapInArrow(summaries, "y int, a double, b double").toPandas()
+    seen = rows.mapInArrow(tidy(summaries), "y int, a double, b double").toPandas()
     field.logistic = fit_logistic(seen[["a", "b"]].to_numpy(), seen["y"].to_numpy(float))
     return field
 
@@ -308,7 +308,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(text_col).cast("string").alias("_tx_text"), *names, (id_mod(F.col(id_col), 5) == 0).alias("_tx_held"))
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.StringType())]
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *added]))
+    out = rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[1:], *added]))
     return out.select(*names, F.col("_tx_held").alias("held_out"), "score", "predicted", "toxic_spans")
 
 
@@ -331,7 +331,7 @@ def clean_documents(docs: DataFrame, field: Field, text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(toxic))], ["_tx_gone"])
 
     text = text_or_empty(F.col(text_col))
-    gone = docs.select(text.alias("text"), F.sha2(text, 256).alias("digest")).mapInArrow(run, "_tx_gone string")
+    gone = docs.select(text.alias("text"), F.sha2(text, 256).alias("digest")).mapInArrow(tidy(run), "_tx_gone string")
     with short_batches(docs.sparkSession):
         gone = staged(gone.distinct(), "toxic-texts")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
