@@ -320,7 +320,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, least: float, idf: floa
     if (many := wanted.count()) > 1:
         first = rows.join(F.broadcast(wanted) if many <= BROADCAST_ROWS else wanted, F.col("node") == F.col("node2"), "left_semi").select("node", "text")
         at, name = new_folder(spark, "shingles"), f"cairn_sets_{new_folder(spark, 'x').rsplit('-', 1)[1]}"
-        parts = max(8, min(4096, many // 4000))
+        # a join with the buckets has as many tasks as there are buckets: fewer than other joins have would make each the larger
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, many // 4000))
         made = shingle_sets(first, sent).dropDuplicates(["node"]).repartition(parts, "node")
         made.write.bucketBy(parts, "node").sortBy("node").option("path", at).option("compression", "zstd").saveAsTable(name)
         sets = spark.table(name)  # joins on node don't shuffle it again
