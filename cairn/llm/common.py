@@ -3,6 +3,7 @@
 * ``shared_dir`` / ``staged``: lineage is cut by a Parquet table written under the folder
   named by ``spark.checkpoint.dir``, which driver and executors share.
 * ``rank_in_group``, ``bucket_of``, ``components``: numbers within groups, ranges of ids, connected components.
+* ``in_file_order``: the order in which rows stand in their files, as a column.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,16 +126,39 @@ def spread(*cols: Column, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def rank_in_group(df: DataFrame, group: str, order: list[str], rows: int, into: str, block: int = 20_000) -> DataFrame:
+def in_file_order(df: DataFrame, into: str) -> DataFrame:
+    """Add ``into``, a number that ascends with a row's place: by files as Spark numbers them, then within a file. Rows that were filtered out leave gaps.
+
+    Spark reads files in no fixed order, so the place comes from the file's name and the row's index there.
+    A table that isn't read from files is written first.
+    """
+    try:
+        at = df.metadataColumn("_metadata")
+    except AnalysisException:
+        df = staged(df, "in-order")
+        at = df.metadataColumn("_metadata")
+    df = df.withColumns({"_fo_f": at["file_path"], "_fo_r": at["row_index"]})
+    before = Window.orderBy(F.length("_fo_g"), "_fo_g").rowsBetween(Window.unboundedPreceding, -1)  # longer names: part numbers of more digits
+    files = df.groupBy(F.col("_fo_f").alias("_fo_g")).agg((F.max("_fo_r") + 1).alias("_fo_n"))  # one row for each file
+    files = F.broadcast(files.select("_fo_g", F.coalesce(F.sum("_fo_n").over(before), F.lit(0)).alias("_fo_o")))
+    return df.join(files, F.col("_fo_f") == F.col("_fo_g")).withColumn(into, F.col("_fo_o") + F.col("_fo_r")).drop("_fo_f", "_fo_g", "_fo_o", "_fo_r")
+
+
+def rank_in_group(df: DataFrame, group: str, order: list[str], rows: int, into: str, block: int = 20_000, place: Column | None = None) -> DataFrame:
     """Add ``into``, each row's number (from 0) within its ``group``, in a pseudo-random order that depends on the values of ``order`` only.
 
     A hot group doesn't meet in one task: rows are dealt to ranges of a hash of ``order``, numbered
     there, and the ranges' counts are summed. Rows that are equal in ``order`` may change places.
+    ``place``, from 0 (inclusive) to 1 (exclusive) and ascending with ``order``: the ranges are its own, and rows are numbered as they stand in ``order``.
     """
     least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, math.ceil(rows / block), min(least, rows // 500))
-    df = df.withColumn("_rk_h", F.xxhash64(*order, F.lit(11)))
-    df = df.withColumn("_rk_b", F.floor(F.pmod(F.shiftright("_rk_h", 20), F.lit(1 << 40)) * F.lit(parts) / F.lit(1 << 40)).cast("int"))
+    if place is None:
+        df = df.withColumn("_rk_h", F.xxhash64(*order, F.lit(11)))
+        df = df.withColumn("_rk_b", F.floor(F.pmod(F.shiftright("_rk_h", 20), F.lit(1 << 40)) * F.lit(parts) / F.lit(1 << 40)).cast("int"))
+    else:
+        df = df.withColumn("_rk_h", place)
+        df = df.withColumn("_rk_b", F.floor(F.col("_rk_h") * F.lit(parts)).cast("int"))
     sums = df.groupBy(group, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
     before = Window.partitionBy(group).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("_rk_g"), F.col("_rk_b").alias("_rk_c"), F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_o"))

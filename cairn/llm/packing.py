@@ -10,6 +10,11 @@ piece fits a gap, the longest run opens new sequences. This is best-fit decreasi
 the counts alone; the pieces themselves are numbered within their length, spread over all
 executors, and find their place in the plan by a join on length and number.
 
+Where documents have an order to keep (``order_col``), the plan and the number of sequences stay as they are, and what
+is interchangeable follows the order: of each length, pieces evenly spread over the order lead sequences (stand at offset 0),
+sequences are numbered as their leaders are ordered, and the length's other pieces, in order, go to its other
+places, ascending by sequence.
+
 Defined results: a null or empty text is one piece that holds the end id; repeated rows are each
 packed; an empty table gives an empty result; other columns pass through on request only.
 """
@@ -17,6 +22,7 @@ packed; an empty table gives an empty result; other columns pass through on requ
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 
 import numpy as np
@@ -38,27 +44,29 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, and ``ids`` (little-endian unsigned 32-bit) if asked for."""
+def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, and ``ids`` (little-endian unsigned 32-bit) and ``order_col`` (long) if asked for."""
     ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
+    order = [order_col] if order_col else []
 
     def cut(batches):
         import pyarrow as pa
 
         enc = encoder(path)
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids + [(o, pa.int64()) for o in order])
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            places = batch.column(2).to_pylist() if order else [None] * batch.num_rows
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), places):
                 ids = enc.ids(text.as_py()) + end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
-                    for col, x in zip(out, (doc, k, start, length, zlib.crc32(part), part)):
+                    for col, x in zip(out, (doc, k, start, length, zlib.crc32(part), *[part] * with_ids, place)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(cut), PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"), *order).mapInArrow(tidy(cut), PIECES + ", ids binary" * with_ids + "".join(f", {o} long" for o in order))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -136,12 +144,51 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.join(table, here).select(*pieces.columns, (F.col("_pk_s") + F.col("_pk_r") - F.col("_pk_a")).alias("sequence_id"), F.col("_pk_o").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of all ``docs`` with their sequence and offset; token ids too if asked for."""
+def pack_in_order(pieces: DataFrame, order_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """``pieces`` without ``order_col`` (not negative), with ``sequence_id`` and ``offset``: as many sequences as ``pack`` makes, numbered from 0 as their first pieces are ordered.
+
+    ``pieces`` is read three times: give a table, not a computation.
+    """
+    spark = pieces.sparkSession
+    names = [c for c in pieces.columns if c != order_col]
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    runs, sequences = plan(counts, capacity)
+    total, last = sum(counts.values()), pieces.agg(F.max(order_col)).first()[0] or 0
+    # a length opens its sequences in one run; a step that shares no divisor with their number deals its leaders evenly to all kinds of sequences
+    opened = {n: (many, first) for n, _, many, first, at in runs if not at}
+    lengths = []
+    for n, c in counts.items():
+        many, first = opened.get(n, (0, 0))
+        step = max(1, round(many * 0.618))
+        while math.gcd(step, many) > 1:
+            step += 1
+        lengths.append((n, c, many, first, step))
+    lengths = F.broadcast(spark.createDataFrame(lengths, "_pk_l long, _pk_c long, _pk_m long, _pk_s long, _pk_g long"))  # at most ``capacity`` rows
+    ranked = rank_in_group(pieces, "length", [order_col, "doc_id", "piece"], total, "_pk_r", place=F.col(order_col) / F.lit(float(last + 1)))
+    ranked = ranked.join(lengths, F.col("length") == F.col("_pk_l")).withColumn("_pk_q", F.expr("_pk_r * _pk_m div _pk_c"))
+    ranked = ranked.withColumn("_pk_first", F.expr("(_pk_r + 1) * _pk_m div _pk_c > _pk_q"))
+    ranked = ranked.withColumn("_pk_x", F.expr("if(_pk_first, _pk_s + _pk_q * _pk_g % _pk_m, _pk_r - _pk_q)"))  # a leader's sequence in the plan, another's number
+    ranked = staged(ranked.select(*pieces.columns, "_pk_first", "_pk_x"), "ranked")
+
+    leaders = ranked.where("_pk_first").withColumn("_pk_all", F.lit(0))
+    leaders = rank_in_group(leaders, "_pk_all", [order_col, "doc_id", "piece"], sequences, "sequence_id", place=F.col(order_col) / F.lit(float(last + 1)))
+    leaders = staged(leaders.select(*names, "_pk_x", "sequence_id"), "leaders")
+    most = max(1000, -(-total // 10_000))  # places in one row for the executors
+    rows = [(n, first + k, min(most, many - k), at) for n, _, many, first, at in runs if at for k in range(0, many, most)]
+    places = spark.createDataFrame(rows, "_pk_l long, _pk_s long, _pk_m long, offset long")
+    places = places.select("_pk_l", "offset", F.explode(F.expr("sequence(_pk_s, _pk_s + _pk_m - 1)")).alias("_pk_t"))
+    places = places.join(leaders.select("_pk_x", "sequence_id"), F.col("_pk_t") == F.col("_pk_x")).select("_pk_l", "sequence_id", "offset")
+    places = rank_in_group(places, "_pk_l", ["sequence_id", "offset"], total - sequences, "_pk_n", place=F.col("sequence_id") / F.lit(float(max(1, sequences))))
+    others = ranked.where("not _pk_first").join(places, (F.col("length") == F.col("_pk_l")) & (F.col("_pk_x") == F.col("_pk_n")))
+    return leaders.select(*names, "sequence_id", F.lit(0).cast("long").alias("offset")).unionByName(others.select(*names, "sequence_id", "offset"))
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """Pieces of all ``docs`` with their sequence and offset; token ids too if asked for. ``order_col``: an order for the sequences to follow."""
     path = path or tokenizer_path("byte_bpe_50k.json")
     with short_batches(docs.sparkSession):
-        pieces = staged(token_pieces(docs, path, capacity=capacity, with_ids=with_ids), "pieces")
-    return pack(pieces, capacity)
+        pieces = staged(token_pieces(docs, path, capacity=capacity, with_ids=with_ids, order_col=order_col), "pieces")
+    return pack_in_order(pieces, order_col, capacity) if order_col else pack(pieces, capacity)
 
 
 def packing_query(spark, sf_dir: str) -> DataFrame:

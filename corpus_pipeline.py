@@ -2,14 +2,14 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All stages but the last return the columns
-of documents. ``ORACLE_SQL`` is None: SQL expresses neither the field that scores toxicity nor the
+of documents; the order that mixing gives is in the files and the rows within them, and packing reads it there. ``ORACLE_SQL`` is None: SQL expresses neither the field that scores toxicity nor the
 sampling that finds near duplicates; tests hold the stages against plain Python.
 """
 
 from __future__ import annotations
 
 from cairn.llm import exact_duplicates, mixing, near_duplicates, packing, toxicity
-from cairn.llm.common import staged
+from cairn.llm.common import in_file_order, staged
 
 ORACLE_SQL = None
 
@@ -37,8 +37,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    """Pieces of token ids with their sequence and their place in it."""
-    return packing.pack_documents(docs.select("doc_id", "text"))
+    """Pieces of token ids with their sequence and their place in it; sequences ascend as the mixture does, by the places of rows in ``docs``' files."""
+    placed = in_file_order(docs, "_position").select("doc_id", "text", "_position")
+    return packing.pack_documents(placed, order_col="_position")
 
 
 STAGES = [
