@@ -25,23 +25,49 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bucket_of, id_buckets, new_folder, ship, staged, text_or_empty
-from cairn.llm.tokens import encoder, tokenizer_path
+from cairn.llm.common import bucket_of, id_buckets, new_folder, ship, short_batches, staged, text_or_empty, tidy
+from cairn.llm.tokens import encoder, tokenizer_path, with_end
 
 MAGIC, END_ID, NO_ID, SHARD_BYTES = b"CRNVB001", 1, -(1 << 63), 64 << 20
 #: Row c: the lengths of the four ranks that control byte c serves.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of one document's ranks."""
+def encode_all(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' control bytes and data bytes, each with every document's number of them."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= extra[:, None]]
-    four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    four[: len(ranks)] = extra
+    sizes = -(-counts // 4)
+    four = np.zeros(int(sizes.sum()) * 4, np.uint8)
+    four[np.arange(len(ranks)) + np.repeat(4 * (np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)] = extra
     four = four.reshape(-1, 4)
-    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes(), data.tobytes()
+    before = np.append(0, np.cumsum(extra + np.int64(1)))
+    ends = np.cumsum(counts)
+    return four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6, sizes, data, before[ends] - before[ends - counts]
+
+
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of one document's ranks."""
+    control, _, data, _ = encode_all(ranks, np.array([len(ranks)]))
+    return control.tobytes(), data.tobytes()
+
+
+def binaries(values: np.ndarray, sizes: np.ndarray):
+    """An Arrow column of ``sizes`` bytes each, cut from ``values``; 32-bit offsets."""
+    import pyarrow as pa
+
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def numbers(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of ``width`` bytes in an Arrow column of binaries, and how many each has."""
+    if not len(column):
+        return np.zeros(0, f"<u{width}"), np.zeros(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.ascontiguousarray(values).view(f"<u{width}"), np.diff(offsets) // width
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -82,21 +108,21 @@ def parse_shard(content: bytes, by_rank: np.ndarray):
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids: each document's token ids with the end id, in 2 bytes each if the vocabulary allows, else 4."""
     ship(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         import pyarrow as pa
 
         enc = encoder(path)
-        narrow = max(enc.size, end_id + 1) <= 1 << 16
+        width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                ids = enc.ids(text.as_py()) + end
-                out.append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([2 if narrow else 4] * len(out), pa.int32())], ["doc_id", "ids", "width"])
+            at = 0
+            for ids, counts in enc.batch(batch.column(1)):
+                ids, counts = with_end(ids, counts, end_id)
+                widths = pa.array(np.full(len(counts), width, np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), binaries(ids.astype(f"<u{width}"), counts * width), widths], ["doc_id", "ids", "width"])
+                at += len(counts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(encode, "doc_id long, ids binary, width int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(encode), "doc_id long, ids binary, width int")
 
 
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:
@@ -107,20 +133,26 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1)):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}"))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
+            if not batch.num_rows:
+                continue
+            n = np.bincount(numbers(batch.column(0), batch.column(1)[0].as_py())[0])  # one width for all of a run's rows
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = tokens.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("ids", "width").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy("<u4")
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_text: int = 8 << 20) -> DataFrame:
     """Write shards of all ``docs`` under the URI ``folder``; a row (shard, part, path, documents, tokens) for each."""
+    with short_batches(docs.sparkSession, 2000):
+        return _written(docs, folder, path, end_id, id_col, text_col, shard_text)
+
+
+def _written(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str, text_col: str, shard_text: int) -> DataFrame:
     from pyarrow import fs
 
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -140,14 +172,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
 
         rank = sent.value
         for batch in batches:
-            counts, control, data = [], [], []
-            for ids, width in zip(batch.column("ids"), batch.column("width")):
-                found = rank[np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}")]
-                c, d = encode_ranks(found)
-                counts.append(len(found))
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["shard", "doc_id", "n", "control", "data"])
+            if not batch.num_rows:
+                continue
+            ids, counts = numbers(batch.column("ids"), batch.column("width")[0].as_py())
+            control, sizes, data, lens = encode_all(rank[ids], counts)
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(counts), binaries(control, sizes), binaries(data, lens)], ["shard", "doc_id", "n", "control", "data"])
 
     def write(batches):
         import pyarrow as pa
@@ -178,9 +207,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
         if held[0]:
             yield close()
 
-    coded = tokens.withColumn("shard", bucket_of(F.col("doc_id"), cuts)).mapInArrow(encode, "shard int, doc_id long, n long, control binary, data binary")
+    coded = tokens.withColumn("shard", bucket_of(F.col("doc_id"), cuts)).mapInArrow(tidy(encode), "shard int, doc_id long, n long, control binary, data binary")
     dealt = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n", "control", "data")
-    return staged(dealt.mapInArrow(write, "shard int, part int, path string, documents long, tokens long"), "shards")
+    return staged(dealt.mapInArrow(tidy(write), "shard int, part int, path string, documents long, tokens long"), "shards")
 
 
 def read_tokens(spark, folder: str, shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -209,7 +238,7 @@ def read_tokens(spark, folder: str, shards: DataFrame, with_ids: bool = False) -
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * with_ids, ["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.vb").load(folder).select("path", "content")
-    rows = files.mapInArrow(read, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = files.mapInArrow(tidy(read), "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     out = rows.join(F.broadcast(bases), ["shard", "part"])  # as many rows as files
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids))
 

@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import edit_fingerprint, exact_duplicates, language_id, mixing, near_duplicates, packing, secrets, token_output, toxicity, warc
+from cairn.llm import edit_fingerprint, exact_duplicates, language_id, mixing, near_duplicates, packing, secrets, token_output, tokens, toxicity, warc
 from cairn.llm.common import bucket_of, components, new_folder, rank_in_group
 from cairn.llm.tokens import IdEncoder, tokenizer_path
 
@@ -287,6 +288,22 @@ def test_ids_are_the_library_s(name):
             assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_of_texts_have_the_library_s_ids_and_look_a_word_up_once(name, monkeypatch):
+    e = IdEncoder(tokenizer_path(name))
+    odd = ["", " ", "\n", "a ", "a\n", "\n\na", "a  b", "x\t y", "x \ty z", "\ty z", "it's", "<|endoftext|> hi", "日本 語", "İ ΣΑΣ K Å", "a\r\nb", "a\x85 b", "a　b", "x \u200by", "\u200by z"]
+    texts = odd + [f"{a}{b}" for a in odd for b in odd] + ["the cat and the dog\nthe end"] * 50
+    for chunk in (1, 40, 4 << 20):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        for column in (pa.array(texts), pa.array(["z", *texts, "z"]).slice(1, len(texts)), pa.array([], pa.string())):
+            got = [x for ids, counts in e.batch(column) for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert [x.tobytes() for x in got] == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[: len(column)]]
+    known, asked = e.parts, []
+    monkeypatch.setattr(e, "parts", type("Counted", (), {"__getitem__": lambda _, part: asked.append(part) or known[part]})())
+    list(e.batch(pa.array(["the cat the dog the cat the end"] * 100)))
+    assert 0 < len(asked) <= 8
+
+
 def test_packing(docs, none):
     got = rows(packing.pack_documents(docs))
     e, want = IdEncoder(tokenizer_path("byte_bpe_50k.json")), []
