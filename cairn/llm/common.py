@@ -15,6 +15,7 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,10 +96,21 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
-    """``run``, a function for ``mapInArrow``, with freed memory returned at the task's end."""
+#: What a Python worker keeps from task to task, by name: how to drop it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str | None) -> None:
+    """A function of its own: what is sent to workers takes ``kept`` along as a copy, but finds this by name."""
+    for name in [k for k in kept if k != but]:
+        kept.pop(name)()
+
+
+def tidy(run, keeps: str | None = None):
+    """``run``, a function for ``mapInArrow``, with freed memory returned at the task's end; what other tasks have left in ``kept``, but under ``keeps``, goes before it begins."""
 
     def tidied(batches):
+        drop_kept(keeps)
         try:
             yield from run(batches)
         finally:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import rank_in_group, ship, short_batches, staged, text_or_empty, tidy
-from cairn.llm.tokens import encoder, tokenizer_path
+from cairn.llm.tokens import encoder, tokenizer_path, with_end
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -47,7 +47,6 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order_col: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and ``ids`` (little-endian unsigned 32-bit) and ``order_col`` (long) if asked for."""
     ship(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
     order = [order_col] if order_col else []
 
     def cut(batches):
@@ -56,17 +55,19 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int
         enc = encoder(path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids + [(o, pa.int64()) for o in order])
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            places = batch.column(2).to_pylist() if order else [None] * batch.num_rows
-            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), places):
-                ids = enc.ids(text.as_py()) + end
-                for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + length)]
-                    for col, x in zip(out, (doc, k, start, length, zlib.crc32(part), *[part] * with_ids, place)):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"), *order).mapInArrow(tidy(cut), PIECES + ", ids binary" * with_ids + "".join(f", {o} long" for o in order))
+            at, docs, places = 0, batch.column(0).to_pylist(), batch.column(2).to_pylist() if order else [None] * batch.num_rows
+            for ids, counts in enc.batch(batch.column(1)):
+                ids, counts = with_end(ids, counts, end_id)
+                out: list[list] = [[] for _ in schema]
+                for end, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
+                    for k, (start, length) in enumerate(pieces_of(n, capacity)):
+                        part = ids[end - n + start : end - n + start + length].tobytes()
+                        for col, x in zip(out, (docs[at], k, start, length, zlib.crc32(part), *[part] * with_ids, places[at])):
+                            col.append(x)
+                    at += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"), *order).mapInArrow(tidy(cut, "encoders"), PIECES + ", ids binary" * with_ids + "".join(f", {o} long" for o in order))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -122,7 +122,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), binaries(ids.astype(f"<u{width}"), counts * width), widths], ["doc_id", "ids", "width"])
                 at += len(counts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(encode), "doc_id long, ids binary, width int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(encode, "encoders"), "doc_id long, ids binary, width int")
 
 
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:

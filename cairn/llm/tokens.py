@@ -23,7 +23,9 @@ from array import array
 
 import numpy as np
 
-WORDS, PARTS, CHUNK = 400_000, 800_000, 8 << 20
+from cairn.llm.common import kept
+
+WORDS, PARTS, CHUNK = 400_000, 400_000, 8 << 20
 # Letters, digits and marks for which the cuts below are the tokenizers' own; the apostrophe is left out.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = "!-&(-/:-@\\[-`{-~"
@@ -206,7 +208,8 @@ _encoders: dict[str, IdEncoder] = {}
 
 
 def encoder(path: str) -> IdEncoder:
-    """The process's encoder for a file; Python workers live on, so their store does too."""
+    """The process's encoder for a file; Python workers live on, so their store does too, until a ``tidy`` task that doesn't keep it."""
+    kept["encoders"] = _encoders.clear
     if path not in _encoders:
         _encoders[path] = IdEncoder(path)
     return _encoders[path]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import edit_fingerprint, exact_duplicates, language_id, mixing, near_duplicates, packing, secrets, token_output, tokens, toxicity, warc
-from cairn.llm.common import bucket_of, components, new_folder, rank_in_group
+from cairn.llm.common import bucket_of, components, new_folder, rank_in_group, tidy
 from cairn.llm.tokens import IdEncoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, position string, sequence_id string, bands string, n string"
@@ -304,6 +304,22 @@ def test_batches_of_texts_have_the_library_s_ids_and_look_a_word_up_once(name, m
     assert 0 < len(asked) <= 8
 
 
+def test_a_worker_drops_the_encoders_before_another_operator_s_task(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+
+    def load(batches):
+        tokens.encoder(path)
+        return look(batches)
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._encoders)] * batch.num_rows)], ["n"])
+
+    one = spark.range(1, numPartitions=1)  # one task after the other: the same worker
+    seen = [[r.n for r in one.mapInArrow(run, "n long").collect()] for run in (tidy(load, "encoders"), tidy(look, "encoders"), tidy(look), tidy(look, "encoders"))]
+    assert seen == [[1], [1], [0], [0]]
+
+
 def test_packing(docs, none):
     got = rows(packing.pack_documents(docs))
     e, want = IdEncoder(tokenizer_path("byte_bpe_50k.json")), []
