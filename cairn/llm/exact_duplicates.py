@@ -24,6 +24,8 @@ from cairn.llm.common import MOST_RANGES, staged, text_or_empty
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 PREFIX = 64
+#: Of the written table, if it has no columns but the id.
+ROWS_A_FILE = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -89,15 +91,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("_cs_p", F.substring("_cs_n", 1, PREFIX))
     order = Window.partitionBy("_cs_b").orderBy("_cs_p", "_cs_s", "_cs_n", "_cs_i")
     rows = rows.withColumn("_cs_first", ~F.col("_cs_n").eqNullSafe(F.lag("_cs_n").over(order)))
-    rows = rows.withColumn("_cs_last", ~F.col("_cs_n").eqNullSafe(F.lead("_cs_n").over(order)))
+    rows = rows.withColumn("_cs_next", F.lead("_cs_n").over(order))  # null after the range's last row only
+    rows = rows.withColumn("_cs_last", ~F.col("_cs_n").eqNullSafe(F.col("_cs_next")))
     rows = rows.withColumn("_cs_run", F.sum(F.col("_cs_first").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the first run is known by its first row, another last run by its last one; from here on only they hold a text
+    edge = F.expr("if(_cs_run = 1, _cs_first, _cs_next is null)")
+    rows = rows.withColumn("_cs_edge", F.when(edge, F.col("_cs_n")))
+    rows = rows.select(*names, "_cs_b", "_cs_run", "_cs_i", "_cs_s", "_cs_last", "_cs_edge")
     run = Window.partitionBy("_cs_b", "_cs_run")
     rows = rows.withColumn("_cs_max", F.max("_cs_i").over(run)).withColumn("_cs_size", F.count(F.lit(1)).over(run))
-    rows = rows.withColumn("_cs_end", F.max("_cs_run").over(Window.partitionBy("_cs_b")))
 
-    edge = F.expr("_cs_first and (_cs_run = 1 or _cs_run = _cs_end)")
-    rows = rows.withColumn("_cs_edge", F.when(edge, F.col("_cs_n")))
-    rows = staged(rows.select(*names, "_cs_b", "_cs_run", "_cs_s", "_cs_last", "_cs_max", "_cs_size", "_cs_edge"), "content-sort")
+    rows = rows.select(*names, "_cs_b", "_cs_run", "_cs_s", "_cs_last", "_cs_max", "_cs_size", "_cs_edge")
+    # On a local file system each new file starts three processes (``chmod``) from the executor's JVM, so short rows go to few files.
+    # Not with other columns: rows of one text and id could then change places when a lost task runs again.
+    if set(names) <= {id_col}:
+        rows = rows.repartition(max(1, math.ceil(stats[0] / ROWS_A_FILE)))
+    rows = staged(rows, "content-sort")
     ends = rows.where("_cs_edge is not null").select("_cs_b", "_cs_run", "_cs_s", "_cs_edge", "_cs_max", "_cs_size")
     same = ends.groupBy("_cs_s", "_cs_edge").agg(F.max("_cs_max").alias("_cs_tmax"), F.sum("_cs_size").alias("_cs_tsize"), F.max("_cs_b").alias("_cs_tb"), F.count(F.lit(1)).alias("_cs_k")).where("_cs_k > 1")
     whole = ends.join(same, ["_cs_s", "_cs_edge"]).select("_cs_b", "_cs_run", "_cs_tmax", "_cs_tsize", "_cs_tb")

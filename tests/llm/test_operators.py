@@ -77,6 +77,21 @@ def test_exact_duplicates_of_a_hot_text_over_many_ranges(spark):
     assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted(top.values())
 
 
+def test_exact_duplicates_write_short_rows_to_few_files(spark, monkeypatch):
+    copies = spark.createDataFrame([(k, f"text {k % 300 if k % 3 else 0}") for k in range(2000)], "doc_id long, text string").repartition(5)
+    wide = exact_duplicates.exact_duplicates(copies, target_bytes=200)
+    written, staged = [], exact_duplicates.staged
+    monkeypatch.setattr(exact_duplicates, "staged", lambda *a: written.append(staged(*a)) or written[-1])
+    monkeypatch.setattr(exact_duplicates, "ROWS_A_FILE", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_duplicates.exact_duplicates(copies, columns=["doc_id"], target_bytes=200).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [len(t.inputFiles()) for t in written] == [2]
+    assert sorted(got) == sorted(wide.drop("text").collect())
+
+
 def test_mixing_keeps_every_row_and_matches_the_slot_by_slot_schedule(spark, docs, none):
     got = rows(mixing.mix(docs, block=2))
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS) and len({r["position"] for r in got}) == len(ROWS)
