@@ -18,13 +18,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import MOST_RANGES, staged, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 PREFIX = 64
-#: Of the written table, if it has no columns but the id.
+#: Of the written table, if it has no columns but an id of whole numbers.
 ROWS_A_FILE = 50_000
 
 
@@ -103,8 +104,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = rows.select(*names, "_cs_b", "_cs_run", "_cs_s", "_cs_last", "_cs_max", "_cs_size", "_cs_edge")
     # On a local file system each new file starts three processes (``chmod``) from the executor's JVM, so short rows go to few files.
-    # Not with other columns: rows of one text and id could then change places when a lost task runs again.
-    if set(names) <= {id_col}:
+    # Not with other columns, nor ids that aren't whole numbers: rows of one text and ``_cs_i`` could then change places when a lost task runs again.
+    if set(names) <= {id_col} and isinstance(docs.schema[id_col].dataType, IntegralType):
         rows = rows.repartition(max(1, math.ceil(stats[0] / ROWS_A_FILE)))
     rows = staged(rows, "content-sort")
     ends = rows.where("_cs_edge is not null").select("_cs_b", "_cs_run", "_cs_s", "_cs_edge", "_cs_max", "_cs_size")

@@ -92,6 +92,20 @@ def test_exact_duplicates_write_short_rows_to_few_files(spark, monkeypatch):
     assert sorted(got) == sorted(wide.drop("text").collect())
 
 
+def test_exact_duplicates_with_ids_that_leave_ties_stay_where_they_were_sorted(spark, monkeypatch):
+    # as whole numbers 3.0 and 3.5 are equal, so either row may be the one that stays; a second exchange could mix two runs of a task
+    copies = spark.createDataFrame([(k / 2, f"text {k // 2 % 300}") for k in range(2000)], "doc_id double, text string").repartition(5)
+    written, staged = [], exact_duplicates.staged
+    monkeypatch.setattr(exact_duplicates, "staged", lambda *a: written.append(staged(*a)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_duplicates.exact_duplicates(copies, columns=["doc_id"], target_bytes=200).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(written[0].inputFiles()) > 1
+    assert len({r["doc_id"] for r in got}) == len(got) == 2000 and sum(r["kept"] for r in got) == 300
+
+
 def test_mixing_keeps_every_row_and_matches_the_slot_by_slot_schedule(spark, docs, none):
     got = rows(mixing.mix(docs, block=2))
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS) and len({r["position"] for r in got}) == len(ROWS)
